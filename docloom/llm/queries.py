@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, license_scan, pii, token_count, token_store
+from docloom.llm import decontaminate, license_scan, mixing, pii, quality_rules, token_count, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -29,16 +33,22 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_license_scan": op2_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_token_store": op6_token_store,
+    "op7_quality_rules": op7_quality_rules,
     "op9_personal_data": op9_personal_data,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
