@@ -1,6 +1,57 @@
-STAGES = []
+"""The corpus pipeline: quality classifier, near-duplicate removal, decontamination, mixing, token output.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
+``documents``; the last writes the token store and returns what it reads back from it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import cotrain, decontaminate, jaccard_join, mixing, token_store
+from docloom.llm.storage import materialise
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects, as of low quality or toxic, go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return cotrain.classify(docs, labels).where("ct_kept").select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, benchmark).where(F.size("bm_items") == 0).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that the mix takes twice is there twice."""
+    mixed = mixing.mix(mixing.sized(docs)).where("mix_copies > 0")
+    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_tokens),
+]
+
+#: trained models and a tokenizer can't be written in SQL; tests/llm/test_pipeline.py holds the rows against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.split()[0].lower().replace("/", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
