@@ -2,11 +2,12 @@
 
 Texts are sets of five-word shingles (a text of one to four words is one shingle). In each run a set chooses one of its
 shingles, the smallest under the run's hash, and goes to that shingle's bucket: two sets of similarity s meet with
-probability s. Buckets of up to ``small`` sets are compared by brute force. Larger ones are split again, once more by
-chosen shingles in several runs; what is still large after that (a group of near copies) is compared in blocks, so that no
-task holds more than two blocks. Runs repeat until the chance to miss a pair at the threshold is below 1 - ``recall``.
+probability s. Buckets of up to ``small`` sets are compared by brute force. Larger ones are split again in the same way,
+with fresh hashes, up to ``LEVELS`` times. A bucket that a split leaves together is a group of near copies: it is compared
+in blocks, so that no task holds more than two blocks. At every level runs repeat until the chance to miss a pair at the
+threshold is below 1 - ``recall``.
 
-A pair is counted only in the first run in which its sets agree, so links are sums and no pair is ever written out.
+A pair is counted only on the path of the first runs in which its sets agree, so links are sums and no pair is written out.
 Texts with equal sets form a class, compared once. Tasks emit sums for each class and the edges of a spanning forest.
 
 Defined results: null or wordless text has no shingles, links to nothing and is a class of its own; repeated rows are
@@ -29,7 +30,10 @@ from docloom.llm.storage import materialise
 from docloom.llm.wordhash import chunks, constants, kgrams, mix, string_buffers, word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
-SMALL = 256
+SMALL = 1024
+LEVELS = 4
+#: share of a bucket that stays together in a split, from which on it counts as a group of near copies
+DENSE = 0.25
 COLUMNS = 4096
 
 
@@ -129,9 +133,13 @@ def _forest(i: np.ndarray, j: np.ndarray, m: int) -> list[tuple[int, int]]:
     return out
 
 
-def _first_equal(sig: np.ndarray, i: np.ndarray, j: np.ndarray, run: int) -> np.ndarray:
-    """Whether run ``run`` is the first one in which the sets of each pair agree."""
-    return ~(sig[i, :run] == sig[j, :run]).any(axis=1)
+def _first_on_path(sig: np.ndarray, i: np.ndarray, j: np.ndarray, path: list[int], runs: int) -> np.ndarray:
+    """Whether the runs of ``path`` are, level by level, the first ones in which the sets of each pair agree."""
+    ok = np.ones(len(i), bool)
+    for level, run in enumerate(path):
+        lo = level * runs
+        ok &= ~(sig[i, lo : lo + run] == sig[j, lo : lo + run]).any(axis=1)
+    return ok
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
@@ -142,12 +150,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     R = runs_for(recall, threshold)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    names = [f"s{r}" for r in range(2 * R)]
+    names = [f"s{r}" for r in range(LEVELS * R)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dig, n, sig = signatures(b.column("text"), 2 * R, shingle)
-            cols = [pa.array(np.ascontiguousarray(sig[:, r]).view(np.int64)) for r in range(2 * R)]
+            dig, n, sig = signatures(b.column("text"), LEVELS * R, shingle)
+            cols = [pa.array(np.ascontiguousarray(sig[:, r]).view(np.int64)) for r in range(LEVELS * R)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(dig, pa.binary()), pa.array(n.astype(np.int64)), *cols], names=["doc_id", "text_hash", "cid", "n", *names])
 
     signed = materialise(src.mapInArrow(sign, f"doc_id {kind}, text_hash long, cid binary, n long, " + ", ".join(f"{s} long" for s in names)), "join-signatures")
@@ -155,37 +163,50 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         signed.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("weight"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in names]), "join-classes"
     )
 
-    # first split: one bucket a run; buckets of one class are gone after the count
-    one = classes.select("cid", "weight", "n", "text_hash", F.array(*names[:R]).alias("sig"), F.array(*names[R:]).alias("sub"), F.posexplode(F.array(*names[:R])).alias("run", "token"))
-    met = materialise(one.groupBy("run", "token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "join-buckets")
-    one = materialise(one.join(met, ["run", "token"]).withColumn("bucket", F.xxhash64("run", "token")), "join-members")
-    # second split, for large buckets only
-    two = one.where(F.col("m") > small).drop("m").select("*", F.posexplode("sub").alias("subrun", "subtoken")).withColumn("bucket", F.xxhash64("run", "token", "subrun", "subtoken"))
-    met2 = materialise(two.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "join-subbuckets")
-    two = two.join(met2, "bucket")
-    cols = ["bucket", "m", "run", "subrun", "cid", "weight", "n", "text_hash", "sig", "sub"]
-    rows = one.where(F.col("m") <= small).withColumn("subrun", F.lit(-1)).select(cols).unionByName(two.select(cols))
-    rows = materialise(rows, "join-rows")
-
-    # which members of a small bucket can have a partner there: another set of fitting size that first agrees in this run
+    # A node is a bucket of a path of (run, shingle) choices; rows stay thin until buckets with a single class are gone.
+    nodes = classes.select(F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("path"), "cid")
+    ready: list[DataFrame] = []
+    for level in range(LEVELS):
+        own = classes.select("cid", F.array(*names[level * R : (level + 1) * R]).alias("own"))
+        split = nodes.join(own, "cid") if level else nodes.drop("own").join(own, "cid")
+        split = split.select("parent", "size", "path", "cid", F.posexplode("own").alias("run", "token")).withColumn("bucket", F.xxhash64("parent", F.lit(level), "run", "token"))
+        met = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("parent").alias("parent"), F.min("size").alias("size")).where("m > 1")
+        met = materialise(met, f"join-buckets-{level}")
+        if level:
+            # a bucket whose sets stay together when it is split holds near copies: it is compared in blocks as it is
+            dense = materialise(met.groupBy("parent").agg((F.max("m") >= DENSE * F.min("size")).alias("dense")), f"join-dense-{level}")
+            judged = materialise(nodes.join(dense, "parent", "left"), f"join-judged-{level}")
+            ready.append(judged.where("dense").select(F.col("parent").alias("bucket"), F.col("size").alias("m"), "path", "cid"))
+            met = met.join(dense.where("dense"), "parent", "left_anti")
+        members = split.select("bucket", "path", "run", "cid").join(met.select("bucket", "m"), "bucket").select("bucket", "m", F.concat("path", F.array("run")).alias("path"), "cid")
+        members = materialise(members, f"join-members-{level}")
+        last = level == LEVELS - 1
+        ready.append(members if last else members.where(F.col("m") <= small))
+        nodes = members.where(F.col("m") > small).select(F.col("bucket").alias("parent"), F.col("m").alias("size"), "path", "cid")
+        if last or nodes.isEmpty():
+            break
+    rows = ready[0]
+    for more in ready[1:]:
+        rows = rows.unionByName(more)
+    facts = classes.select("cid", "weight", "n", "text_hash", F.array(*names).alias("sig"))
+    rows = materialise(rows.join(facts, "cid"), "join-rows")
+
+    # which members of a small bucket can have a partner there: another set of fitting size that first agrees on this path
     few = rows.where(F.col("m") <= small)
 
     def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in sorted_groups(batches, "bucket"):
             n = table.column("n").to_numpy()
-            sig = np.array(table.column("sig").combine_chunks().flatten()).reshape(-1, R)
-            sub = np.array(table.column("sub").combine_chunks().flatten()).reshape(-1, R)
-            run, subrun = table.column("run").to_numpy(), table.column("subrun").to_numpy()
+            sig = np.array(table.column("sig").combine_chunks().flatten()).reshape(len(n), -1)
+            path = table.column("path")
             keep = np.zeros(len(n), bool)
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 i, j = np.triu_indices(b - a, 1)
                 size = n[a:b]
                 fit = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
-                i, j = i[fit], j[fit]
-                ok = _first_equal(sig[a:b], i, j, int(run[a]))
-                if subrun[a] >= 0:
-                    ok &= _first_equal(sub[a:b], i, j, int(subrun[a]))
-                keep[a + i[ok]] = keep[a + j[ok]] = True
+                i, j = a + i[fit], a + j[fit]
+                ok = _first_on_path(sig, i, j, path[a].as_py(), R)
+                keep[i[ok]] = keep[j[ok]] = True
             yield from table.filter(pa.array(keep)).to_batches()
 
     # a bucket's members meet in one task, in key order
@@ -211,9 +232,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for table, at in sorted_groups(batches, "pair"):
             cid, sets = table.column("cid").to_pylist(), table.column("shingles").to_pylist()
             weight, mine, other = table.column("weight").to_numpy(), table.column("mine").to_numpy(), table.column("other").to_numpy()
-            run, subrun = table.column("run").to_numpy(), table.column("subrun").to_numpy()
-            sig = np.array(table.column("sig").combine_chunks().flatten()).reshape(-1, R)
-            sub = np.array(table.column("sub").combine_chunks().flatten()).reshape(-1, R)
+            path = table.column("path")
+            sig = np.array(table.column("sig").combine_chunks().flatten()).reshape(len(weight), -1)
             links: dict[bytes, int] = {}
             edges: list[tuple[bytes, bytes]] = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -223,9 +243,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue  # the other block is empty
                 i, j = linked([np.frombuffer(sets[x], np.uint64) for x in order], threshold, cross)
                 i, j = order[i], order[j]
-                ok = _first_equal(sig, i, j, int(run[a]))
-                if subrun[a] >= 0:
-                    ok &= _first_equal(sub, i, j, int(subrun[a]))
+                ok = _first_on_path(sig, i, j, path[a].as_py(), R)
                 i, j = i[ok], j[ok]
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     links[cid[x]] = links.get(cid[x], 0) + int(weight[y])
@@ -236,7 +254,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     # one row a member and task, the set beside it
-    ready = work.select("pair", "run", "subrun", "cid", "weight", "sig", "sub", "mine", "other").join(known, "cid").repartition("pair").sortWithinPartitions("pair")
+    ready = work.select("pair", "path", "cid", "weight", "sig", "mine", "other").join(known, "cid").repartition("pair").sortWithinPartitions("pair")
     found = materialise(ready.mapInArrow(compare, "a binary, b binary, links long"), "join-found")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
