@@ -6,6 +6,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,25 +15,40 @@ from docloom.llm import cotrain, decontaminate, jaccard_join, mixing, token_stor
 from docloom.llm.storage import materialise
 
 
+#: columns that stages read; all others are carried under other names, so that none clashes with a stage's own
+USED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _guarded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` over ``docs`` with its other columns renamed; the result has the columns of ``docs``, in their order."""
+    safe = {c: c if c in USED else f"carried_{i}" for i, c in enumerate(docs.columns)}
+    out = stage(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in safe.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in safe.items()])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects, as of low quality or toxic, go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return cotrain.classify(docs, labels).where("ct_kept").select(docs.columns)
+    return _guarded(docs, lambda d: cotrain.classify(d, labels).where("ct_kept"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return _guarded(docs, jaccard_join.keep_one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, benchmark).where(F.size("bm_items") == 0).select(docs.columns)
+    return _guarded(docs, lambda d: decontaminate.decontaminate(d, benchmark).where(F.size("bm_items") == 0))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that the mix takes twice is there twice."""
-    mixed = mixing.mix(mixing.sized(docs)).where("mix_copies > 0")
-    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
+
+    def mixed(d: DataFrame) -> DataFrame:
+        taken = mixing.mix(mixing.sized(d)).where("mix_copies > 0")
+        return taken.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
+
+    return _guarded(docs, mixed)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
