@@ -287,3 +287,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     # rows repeated with id and text both equal: one of them stays
     once = kept.where("NOT jj_empty").dropDuplicates(["jj_id", "jj_text"])
     return once.select(had).unionByName(kept.where("jj_empty").select(had))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS p FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, len(w) || ' words: ' || array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM d JOIN k ON d.doc_id = k.a LEFT JOIN l ON d.doc_id = l.a
+"""

@@ -66,4 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": mixing.SQL,
+    "op4_decontamination": decontaminate.SQL,
+    "op7_quality_rules": quality_rules.SQL,
+    "op10_jaccard_join": jaccard_join.SQL,
+}

@@ -214,25 +214,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("th"))
     kind = src.schema["doc_id"].dataType.simpleString()
     marks = repeated_marks(src.select("th", "text"), length, gram, most)
-    spans = materialise(marks.groupBy("th").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "suffix-spans")
+    packed = F.shiftleft(F.col("from").cast("long"), 32) + F.col("to")  # one number a range keeps the lists small
+    spans = materialise(marks.groupBy("th").agg(F.collect_list(packed).alias("spans")), "suffix-spans")
+
+    def keep(raw: bytes, spans: np.ndarray) -> tuple[bytes, int]:
+        """What stays of a text, and how many runs went."""
+        kept, done, runs = [], 0, 0
+        for s in np.sort(spans).tolist():
+            start, end = s >> 32, s & 0xFFFFFFFF
+            if start > done or not runs:
+                kept.append(raw[done:start])
+                runs += 1
+            done = max(done, end)
+        return b"".join([*kept, raw[done:]]), runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                raw, kept, done, runs = t.encode("utf-8", "surrogatepass"), [], 0, 0
-                end = -1
-                for s in sorted((x["from"], x["to"]) for x in spans or ()):
-                    if s[0] > end:
-                        kept.append(raw[done : s[0]])
-                        runs += 1
-                    end = max(end, s[1])
-                    done = end
-                kept = b"".join([*kept, raw[done:]])
-                rows.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(5)]
-            out = [pa.array(x, t) for x, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out[: 5 if with_text else 4]], names=[*NAMES, *["kept"] * with_text])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if with_text else 4]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                rows = []
+                for t, s in zip(b.column("text"), b.column("spans"), strict=True):
+                    raw = t.as_py().encode("utf-8", "surrogatepass")
+                    kept, runs = keep(raw, s.values.to_numpy()) if s.is_valid else (raw, 0)
+                    rows.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept)[: len(types)])
+                cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, t) for x, t in zip(cols, types, strict=True)]], names=[*NAMES, *["kept"] * with_text])
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return src.join(spans.hint("shuffle_hash"), "th", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
