@@ -125,7 +125,7 @@ class Automaton:
 
 class Scanner:
     def __init__(self, phrases=PHRASES, templates=TEMPLATES):
-        self.automata = [Automaton.compile(label, text) for label, text in (*phrases, *templates)]
+        self.automata = [Automaton.compile(label, phrase) for phrase, label in phrases] + [Automaton.compile(label, text) for label, text in templates]
         self.n_base = len(phrases)
         self.anchors = {a.anchor for a in self.automata}
         self.first: dict[bytes, list[int]] = {}
@@ -144,14 +144,17 @@ class Scanner:
             first, automata = self.first, self.automata
             held = {k for k, a in enumerate(automata) if a.anchor in raw}
             for i in [i for i, w in enumerate(words) if w in first]:
+                best, label = i, None  # of the templates that match here the one that takes most words counts
                 for k in first[words[i]]:
                     if k in held and (end := automata[k].match(words, i)) >= 0:
                         if k < self.n_base:
                             base.append(i)
                             base_labels.add(automata[k].label)
-                        else:
-                            more.add(automata[k].label)
-                            covered = max(covered, end - i)
+                        elif end > best:
+                            best, label = end, automata[k].label
+                if label:
+                    more.add(label)
+                    covered = max(covered, best - i)
         score = 0.0 if not (base or more) else min(1.0, 0.5 * bool(base_labels) + 0.4 * bool(more) + 0.1 * (covered >= 12))
         return (len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(base_labels | more)), score)
 
