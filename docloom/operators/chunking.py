@@ -96,3 +96,42 @@ def search_text(filename: Column, sheet: Column, page: Column, label: Column, co
         "\n", line("文件名：", filename), line("文件主题：", T.stem_of(filename)), line("文件类型：", F.regexp_replace(T.suffix_of(filename), r"^\.", "")), line("工作表：", sheet), line("页码：", page.cast("string")), line("节点：", label),
         line("列名：", F.array_join(columns, "、")), F.when(F.length(T.strip(content)) > 0, content),
     )
+
+
+SEPARATORS = ("\n\n", "\n", "。", "！", "？", "，", " ", "")
+
+
+def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of up to ``size`` characters, cut at the coarsest separator that is there; neighbours share up to ``overlap``."""
+    if len(text) <= size:
+        return [text] if text.strip() else []
+    at = next(i for i, s in enumerate(separators) if not s or s in text)
+    sep, finer = separators[at], separators[at + 1 :]
+    parts = [text[i : i + 1] for i in range(len(text))] if not sep else [p + sep for p in text.split(sep)[:-1]] + [text.split(sep)[-1]]
+    out: list[str] = []
+    held: list[str] = []
+    for p in parts:
+        if len(p) > size:
+            if held:
+                out.append("".join(held))
+                held = []
+            out += recursive_pieces(p, size, overlap, finer)
+            continue
+        if held and sum(map(len, held)) + len(p) > size:
+            out.append("".join(held))
+            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(p) > size):
+                held.pop(0)
+        held.append(p)
+    if held:
+        out.append("".join(held))
+    return [p.strip() for p in out if p.strip()]
+
+
+def recursive_split(c: Column | str, size: int = 500, overlap: int = 50) -> Column:
+    """Recursion over separators has no built-in form: Arrow batches of texts."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts):
+        return texts.map(lambda t: recursive_pieces(t or "", size, overlap))
+
+    return run(T.col(c))
