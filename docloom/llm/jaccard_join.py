@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.components import components
 from docloom.llm.grouping import sorted_groups
-from docloom.llm.storage import materialise
+from docloom.llm.storage import Scratch, materialise
 from docloom.llm.wordhash import chunks, constants, kgrams, mix, string_buffers, word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
@@ -34,7 +34,7 @@ SMALL = 1024
 LEVELS = 4
 #: share of a bucket that stays together in a split, from which on it counts as a group of near copies
 DENSE = 0.25
-COLUMNS = 4096
+COLUMNS, STRIP = 1024, 128
 
 
 def runs_for(recall: float, threshold: float) -> int:
@@ -99,21 +99,22 @@ def linked(sets: list[np.ndarray], t: float, split: int | None = None) -> tuple[
     owner, col = owner[keep], col[keep]
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
-    common = np.zeros((m, m), np.float32)
+    # rows against columns: the two sides of ``split``, or all against all
+    rows, cols = (slice(0, m), slice(0, m)) if split is None else (slice(0, split), slice(split, m))
+    common = np.zeros((rows.stop - rows.start, cols.stop - cols.start), np.float32)
     for lo in range(0, len(shared), COLUMNS):
         a, b = np.searchsorted(col, [lo, lo + COLUMNS])
         part = np.zeros((m, min(COLUMNS, len(shared) - lo)), np.float32)
         part[owner[a:b], col[a:b] - lo] = 1
-        common += part @ part.T
-    close = common * (1 + t) >= t * (size[:, None] + size[None, :]) - 1e-3
-    i, j = np.nonzero(np.triu(close, 1))
-    if split is not None:
-        keep = (i < split) & (j >= split)
-        i, j = i[keep], j[keep]
-    # float32 sums are exact to 2**24; the exact test is done in integers scaled from t
-    c = common[i, j].astype(np.float64)
-    ok = c * (1 + t) >= t * (size[i] + size[j]) - 1e-9
-    return i[ok], j[ok]
+        common += part[rows] @ part[cols].T
+    found_i, found_j = [], []
+    for lo in range(0, len(common), STRIP):  # strips keep what is compared at once small; float32 counts are exact to 2**24
+        c = common[lo : lo + STRIP].astype(np.float64)
+        i, j = np.nonzero(c * (1 + t) >= t * (size[rows][lo : lo + STRIP, None] + size[cols][None, :]) - 1e-9)
+        i, j = i + lo, j + cols.start
+        found_i.append(i[i < j])
+        found_j.append(j[i < j])
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _forest(i: np.ndarray, j: np.ndarray, m: int) -> list[tuple[int, int]]:
@@ -147,6 +148,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``text_hash`` is the 64-bit hash of the text by which a caller can find its rows again.
     """
+    write = Scratch(docs.sparkSession)
     R = runs_for(recall, threshold)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -159,7 +161,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(dig, pa.binary()), pa.array(n.astype(np.int64)), *cols], names=["doc_id", "text_hash", "cid", "n", *names])
 
     signed = materialise(src.mapInArrow(sign, f"doc_id {kind}, text_hash long, cid binary, n long, " + ", ".join(f"{s} long" for s in names)), "join-signatures")
-    classes = materialise(
+    classes = write(
         signed.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("weight"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in names]), "join-classes"
     )
 
@@ -171,15 +173,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         split = nodes.join(own, "cid") if level else nodes.drop("own").join(own, "cid")
         split = split.select("parent", "size", "path", "cid", F.posexplode("own").alias("run", "token")).withColumn("bucket", F.xxhash64("parent", F.lit(level), "run", "token"))
         met = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("parent").alias("parent"), F.min("size").alias("size")).where("m > 1")
-        met = materialise(met, f"join-buckets-{level}")
+        met = write(met, f"join-buckets-{level}")
         if level:
             # a bucket whose sets stay together when it is split holds near copies: it is compared in blocks as it is
-            dense = materialise(met.groupBy("parent").agg((F.max("m") >= DENSE * F.min("size")).alias("dense")), f"join-dense-{level}")
-            judged = materialise(nodes.join(dense, "parent", "left"), f"join-judged-{level}")
+            dense = write(met.groupBy("parent").agg((F.max("m") >= DENSE * F.min("size")).alias("dense")), f"join-dense-{level}")
+            judged = write(nodes.join(dense, "parent", "left"), f"join-judged-{level}")
             ready.append(judged.where("dense").select(F.col("parent").alias("bucket"), F.col("size").alias("m"), "path", "cid"))
             met = met.join(dense.where("dense"), "parent", "left_anti")
         members = split.select("bucket", "path", "run", "cid").join(met.select("bucket", "m"), "bucket").select("bucket", "m", F.concat("path", F.array("run")).alias("path"), "cid")
-        members = materialise(members, f"join-members-{level}")
+        members = write(members, f"join-members-{level}")
         last = level == LEVELS - 1
         ready.append(members if last else members.where(F.col("m") <= small))
         nodes = members.where(F.col("m") > small).select(F.col("bucket").alias("parent"), F.col("m").alias("size"), "path", "cid")
@@ -189,7 +191,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for more in ready[1:]:
         rows = rows.unionByName(more)
     facts = classes.select("cid", "weight", "n", "text_hash", F.array(*names).alias("sig"))
-    rows = materialise(rows.join(facts, "cid"), "join-rows")
+    rows = write(rows.join(facts, "cid"), "join-rows")
 
     # which members of a small bucket can have a partner there: another set of fitting size that first agrees on this path
     few = rows.where(F.col("m") <= small)
@@ -214,10 +216,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # still large: every block of members meets every block
     many = rows.where(F.col("m") > small).withColumn("blocks", F.ceil(F.col("m") / small).cast("int"))
     many = many.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = materialise(few.unionByName(many).withColumn("pair", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))), "join-work")
+    work = write(few.unionByName(many).withColumn("pair", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))), "join-work")
 
     # the sets of classes that are needed, from one of their texts
-    wanted = materialise(work.groupBy("text_hash").agg(F.first("cid").alias("cid")), "join-wanted")
+    wanted = write(work.groupBy("text_hash").agg(F.first("cid").alias("cid")), "join-wanted")
     texts = src.select("text_hash", "text").join(wanted.hint("shuffle_hash"), "text_hash")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +228,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(out, pa.binary())], names=["cid", "shingles"])
 
     # copies of a text give its set more than once; the first is kept
-    known = materialise(texts.mapInArrow(sets, "cid binary, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles")), "join-sets")
+    known = write(texts.mapInArrow(sets, "cid binary, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles")), "join-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in sorted_groups(batches, "pair"):
@@ -255,13 +257,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # one row a member and task, the set beside it
     ready = work.select("pair", "path", "cid", "weight", "sig", "mine", "other").join(known, "cid").repartition("pair").sortWithinPartitions("pair")
-    found = materialise(ready.mapInArrow(compare, "a binary, b binary, links long"), "join-found")
+    found = write(ready.mapInArrow(compare, "a binary, b binary, links long"), "join-found")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("b IS NOT NULL").select("a", "b"))
+    roots = components(found.where("b IS NOT NULL").select("a", "b"), write)
     out = classes.select("cid", "weight").join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     out = materialise(
         out.select("cid", F.col("weight").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "join-classes-linked"
     )
+    write.drop()
     return signed.select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("cid")).alias("cid")), out
 
 
