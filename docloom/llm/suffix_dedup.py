@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.deep_shallow import common_prefixes
 from docloom.llm.grouping import sorted_groups
-from docloom.llm.storage import materialise
+from docloom.llm.storage import Scratch, materialise
 from docloom.llm.wordhash import chunks, mix, segment_hashes, string_buffers
 
 LENGTH, GRAM, MOST = 400, 100, 512
@@ -109,24 +109,24 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 ROW = "grp long, hull long, th binary, lo int, hi int, a int"
 
 
-def _settle(rows: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame]:
+def _settle(rows: DataFrame, length: int, name: str, write: Scratch) -> tuple[DataFrame, DataFrame]:
     """Marks (th, from, to) of pieces that occur whole elsewhere, and the pieces left, one for each class, with n and m.
 
     ``m`` is the number of classes in the bucket. Buckets in which nothing is left to compare are gone.
     """
     more = [c for c in rows.columns if c == "piece"]
-    cls = materialise(
+    cls = write(
         rows.groupBy("grp", "hull").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("th", "lo", "hi", "a", *more)).alias("p")).select("grp", "hull", "n", "p.*"), f"{name}-classes"
     )
     stats = cls.groupBy("grp").agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
-    stats = materialise(stats.where("n_all > 1"), f"{name}-buckets")
-    whole = materialise(cls.where("n > 1").select("grp", "hull"), f"{name}-whole")
+    stats = write(stats.where("n_all > 1"), f"{name}-buckets")
+    whole = write(cls.where("n > 1").select("grp", "hull"), f"{name}-whole")
     marks = rows.join(whole, ["grp", "hull"]).select("th", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
     left = cls.join(stats.where("m > 1 AND least = 1").select("grp", "m"), "grp").select("grp", "th", "lo", "hi", "a", "n", "m", *more)
-    return materialise(marks, f"{name}-marks"), left
+    return write(marks, f"{name}-marks"), left
 
 
-def repeated_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+def repeated_marks(docs: DataFrame, write: Scratch, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """``docs`` has text and th, a digest of it. Returns th, from, to: byte ranges that repeat (they may overlap)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +137,13 @@ def repeated_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 own, lo, hi, a, g, d = pieces_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), th.take(pa.array(own + i)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, a))], names=["grp", "hull", "th", "lo", "hi", "a"])
 
-    found = materialise(docs.select("th", "text").mapInArrow(cut, ROW), "suffix-pieces")
-    marks, left = _settle(found, length, "suffix")
-    left = materialise(left, "suffix-left")
+    found = write(docs.select("th", "text").mapInArrow(cut, ROW), "suffix-pieces")
+    marks, left = _settle(found, length, "suffix", write)
+    left = write(left, "suffix-left")
 
     # bytes of the pieces that are left, from one copy of each text
     wanted = left.groupBy("th").agg(F.collect_list(F.struct("grp", "lo", "hi", "a", "n", "m")).alias("pieces"))
-    texts = docs.groupBy("th").agg(F.first("text").alias("text")).join(materialise(wanted, "suffix-wanted"), "th")
+    texts = docs.groupBy("th").agg(F.first("text").alias("text")).join(write(wanted, "suffix-wanted"), "th")
     types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     names = ["grp", "th", "lo", "hi", "a", "n", "m", "piece"]
     schema = "grp long, th binary, lo int, hi int, a int, n long, m long, piece binary"
@@ -155,7 +155,7 @@ def repeated_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 rows = [(p["grp"], th, p["lo"], p["hi"], p["a"], p["n"], p["m"], text[p["lo"] : p["hi"] + length]) for p in b.column("pieces")[i].as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    pieces = materialise(texts.select("th", "text", "pieces").mapInArrow(attach, schema), "suffix-bytes")
+    pieces = write(texts.select("th", "text", "pieces").mapInArrow(attach, schema), "suffix-bytes")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in sorted_groups(batches, "grp"):
@@ -198,9 +198,9 @@ def repeated_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
         large = pieces.where((F.col("m") > most))
         if large.isEmpty():
             break
-        rows = materialise(large.select("grp", "th", "lo", "hi", "a", "piece").mapInArrow(split(width), ROW + ", piece binary"), f"suffix-split-{width}")
-        whole, pieces = _settle(rows, length, f"suffix-{width}")
-        pieces = materialise(pieces, f"suffix-left-{width}")
+        rows = write(large.select("grp", "th", "lo", "hi", "a", "piece").mapInArrow(split(width), ROW + ", piece binary"), f"suffix-split-{width}")
+        whole, pieces = _settle(rows, length, f"suffix-{width}", write)
+        pieces = write(pieces, f"suffix-left-{width}")
         marks = marks.unionByName(whole).unionByName(sorted_marks(pieces))
     return marks
 
@@ -213,9 +213,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("th"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    marks = repeated_marks(src.select("th", "text"), length, gram, most)
+    write = Scratch(docs.sparkSession)
+    marks = repeated_marks(src.select("th", "text"), write, length, gram, most)
     packed = F.shiftleft(F.col("from").cast("long"), 32) + F.col("to")  # one number a range keeps the lists small
     spans = materialise(marks.groupBy("th").agg(F.collect_list(packed).alias("spans")), "suffix-spans")
+    write.drop()
 
     def keep(raw: bytes, spans: np.ndarray) -> tuple[bytes, int]:
         """What stays of a text, and how many runs went."""
