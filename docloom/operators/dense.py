@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from docloom.operators.postings import ranked
 
 BLOCK = 2048
+#: scores that a task holds at once
+STRIP = 1 << 21
 
 
 def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -26,7 +28,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)[:, None]
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", metric: str = "cosine", block: int = BLOCK, strip: int = STRIP) -> DataFrame:
     """query_id, id, score, rank. ``queries`` has query_id and the vector column; a zero vector has score 0.
 
     Vectors of another dimension than the query's, or with null parts, cannot be compared and are left out.
@@ -48,12 +50,16 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "ve
                 if not len(m):
                     continue
                 own = b.column(0).to_numpy()[at]
-                s = np.round(q @ (_unit(m) if metric == "cosine" else m).T, 6) + 0.0
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                r = np.repeat(np.arange(len(ids)), order.shape[1])
-                best.append((ids[r], own[order.ravel()], s[r, order.ravel()]))
-                if len(best) > 8:
-                    best = [_prune(best, k)]
+                m = _unit(m) if metric == "cosine" else m
+                step = max(1, strip // len(ids))
+                for i in range(0, len(m), step):
+                    s = np.round(q @ m[i : i + step].T, 6) + 0.0
+                    n = s.shape[1]
+                    least = np.partition(s, n - k, axis=1)[:, n - k] if n > k else np.full(len(ids), -np.inf)
+                    r, c = np.nonzero(s >= least[:, None])  # ties of the last place are settled by id
+                    best.append(_prune([(ids[r], own[i + c], s[r, c])], k))
+                    if len(best) > 8:
+                        best = [_prune(best, k)]
             if best:
                 a, c, s = _prune(best, k)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], names=["query_id", "id", "score"])

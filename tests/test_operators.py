@@ -195,6 +195,19 @@ def test_dense(spark):
     assert dense.dense_topk(q.limit(0), v, 2).count() == 0
 
 
+def test_dense_strips(spark):
+    """Many queries and ties over several strips and blocks, against a plain sort."""
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(120)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = dense.dense_topk(v.withColumnRenamed("vec_id", "query_id"), v, 4, metric="ip", block=50, strip=64).collect()
+    want = set()
+    for q, a in rows:
+        best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in rows)[:4]
+        want |= {(q, i, -s, n) for n, (s, i) in enumerate(best, 1)}
+    assert {(r.query_id, r.id, r.score, r["rank"]) for r in got} == want
+
+
 def test_tables(spark):
     assert one(spark, ["a", "", "a", None, "a"], tables.normalise_headers(F.col("x")), "array<string>") == ["a", "column_2", "a_2", "column_4", "a_3"]
     got = one(spark, [["h|1", "h2"], ["a"]], tables.markdown(F.col("x")), "array<array<string>>")
