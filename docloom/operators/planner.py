@@ -16,13 +16,16 @@ def requested_types(q: Column) -> Column:
     return F.array_sort(F.filter(F.array(*[F.when(T.has_any(q, words), F.lit(s)) for s, words in M.TYPE_WORDS]), lambda x: x.isNotNull()))
 
 
-def mentions(q: Column, filename: Column, source_path: Column) -> Column:
-    """File name, path or a stem of either, as written or compact, of two or more characters."""
-    out = F.lit(False)
-    for name in (filename, T.stem_of(filename), source_path, T.stem_of(source_path)):
-        low = T.fold(name)
-        out = out | ((F.length(T.compact(name)) >= 2) & (F.contains(q, low) | F.contains(T.compact(q), T.compact(name))))
-    return out
+def names_of(filename: Column, source_path: Column) -> Column:
+    """File name, path and the stems of both, as written and compact, where that has two or more characters."""
+    names = F.array(filename, T.stem_of(filename), source_path, T.stem_of(source_path))
+    both = F.transform(names, lambda x: F.struct(T.fold(x).alias("low"), T.compact(x).alias("compact")))
+    return F.array_distinct(F.filter(both, lambda x: F.length(x["compact"]) >= 2))
+
+
+def mentions(q: Column, compact_q: Column, names: Column) -> Column:
+    """Whether a question has one of ``names``; both sides are prepared once, not for each pair."""
+    return F.exists(names, lambda x: F.contains(q, x["low"]) | F.contains(compact_q, x["compact"]))
 
 
 def plan_queries(queries: DataFrame, documents: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -37,7 +40,9 @@ def plan_queries(queries: DataFrame, documents: DataFrame, query_id: str = "quer
         q = q.withColumn(name, T.has_any(F.col("q"), words))
     q = q.withColumn("strong", T.has_any(F.col("q"), M.SUM + M.AVG + M.COUNT_ROWS) | (T.has_any(F.col("q"), M.FILTER) & F.rlike(F.col("q"), F.lit(r"\d"))))
     kinds = docs.agg(F.coalesce(F.bool_or(F.col("suffix").isin(*TABULAR)), F.lit(False)).alias("any_table"), F.coalesce(F.bool_or(~F.col("suffix").isin(*TABULAR)), F.lit(False)).alias("any_other"))
-    named = q.select(query_id, "q").join(docs, mentions(F.col("q"), F.col("filename"), F.col("source_path"))).select(query_id, "source_path", "suffix")
+    known = docs.select("source_path", "suffix", names_of(F.col("filename"), F.col("source_path")).alias("names"))
+    asked = q.select(query_id, "q", T.compact(F.col("q")).alias("compact_q"))
+    named = asked.join(known, mentions(F.col("q"), F.col("compact_q"), F.col("names"))).select(query_id, "source_path", "suffix")
     named = named.groupBy(query_id).agg(
         F.array_sort(F.collect_set("source_path")).alias("named"), F.array_sort(F.collect_set(F.when(F.col("suffix") != "", F.col("suffix")))).alias("named_types"),
         F.array_sort(F.collect_set(F.when(F.col("suffix").isin(*TABULAR), F.col("source_path")))).alias("named_tables"),
