@@ -6,8 +6,10 @@ on labelled rows. In each round a view labels the unlabelled rows that it is mos
 of the other view. At the end each view is calibrated on held-out labelled rows (Platt) and a logistic of both calibrated
 views scores every document. Quality and toxicity are two targets of the same procedure.
 
-Only fitting is bounded: ``max_labelled`` labelled rows and ``max_pool`` unlabelled ones, drawn by a hash of the id over
-the whole tables. Scoring reads every document whole.
+Only the labelled rows that are fitted on are bounded (``max_labelled``). Every unlabelled document is a candidate in every
+round: its features are written once, one pass counts how sure each view is of it, a second gives the pseudo-labels. The
+text view's further fits are L-BFGS steps whose loss and gradient are summed over all pseudo-labelled rows, one pass each;
+the metadata view's rows are counted by their few different feature sets. Scoring reads every document whole.
 
 Defined results: null text has no words and is scored by what is left; null metadata is a value of its own; labels that
 are null are not used; without labels of both kinds a target has the constant score of the only kind (quality 1, toxicity
@@ -26,9 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.storage import Scratch
 from docloom.llm.wordhash import chunks, constants, mix, segment_hashes, string_buffers, word_hashes
 
-MAX_LABELLED, MAX_POOL = 6000, 4000
+MAX_LABELLED = 6000
 ROUNDS, GROWTH, SURE = 3, 0.1, 0.95
 WORD_BITS = 16
 STAT_BINS = 16
@@ -36,6 +39,11 @@ N_STATS = 8
 WIDTH = (1 << WORD_BITS) + STAT_BINS * N_STATS
 META_WIDTH = 1 << 12
 LEAST_ROWS = 10
+L2 = 1e-4
+#: L-BFGS steps of a round, the pairs they keep, and the tasks whose sums go to the driver
+STEPS, PAIRS, SUMS = 8, 8, 64
+#: how sure a view is beyond ``sure``: bins of the calibrated margin, BIN to a unit
+BINS, BIN = 4096, 128
 #: bin edges of the shares, denser near 0
 SHARES = np.array([0.0005, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.12, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95])
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -135,18 +143,20 @@ class Logistic:
     w: np.ndarray = field(default_factory=lambda: np.zeros(0))
     b: float = 0.0
 
-    def fit(self, rows: Rows, y: np.ndarray, steps: int = 120, rate: float = 0.3, l2: float = 1e-4) -> Logistic:
-        """Full-batch AdaGrad; features in fewer than LEAST_ROWS rows keep weight 0."""
-        seen = np.bincount(rows.idx, minlength=self.width)
+    def fit(self, rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 120, rate: float = 0.3, l2: float = L2) -> Logistic:
+        """Full-batch AdaGrad; features in fewer than LEAST_ROWS rows keep weight 0. ``weight``: how often a row is there."""
+        n = np.diff(rows.at)
+        weight = np.ones(len(y)) if weight is None else weight
+        seen = np.bincount(rows.idx, weights=np.repeat(weight, n), minlength=self.width)
         use = np.flatnonzero(seen >= LEAST_ROWS)
         place = np.full(self.width, len(use), np.int64)
         place[use] = np.arange(len(use))
-        idx, n = place[rows.idx], np.diff(rows.at)
+        idx, share = place[rows.idx], weight / weight.sum()
         w, g2 = np.zeros(len(use) + 1), np.full(len(use) + 1, 1e-8)
         b, b2 = 0.0, 1e-8
         own = Rows(idx, rows.at)
         for _ in range(steps):
-            err = (sigmoid(own.margins(w) + b) - y) / len(y)
+            err = (sigmoid(own.margins(w) + b) - y) * share
             g = np.bincount(idx, weights=np.repeat(err, n), minlength=len(w)) + l2 * w
             g[-1] = 0
             g2 += g * g
@@ -197,37 +207,223 @@ class Target:
         return sigmoid(np.column_stack([a, b, np.ones(len(a))]) @ self.both)
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta: Rows, default: float, rounds: int = ROUNDS, growth: float = GROWTH, sure: float = SURE) -> Target:
-    """``y`` is 0 or 1 for the labelled rows; every fifth row is held out for calibration."""
-    held = np.arange(len(y)) % 5 == 4
-    train = np.flatnonzero(~held)
-    if len(np.unique(y[train])) < 2 or len(np.unique(y[held])) < 2:
-        return Target(constant=float(np.round(y.mean())) if len(y) else default)
-    n_pool = len(pool_text)
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels for the text view and for the metadata view
-    views = ((text, pool_text, WIDTH), (meta, pool_meta, META_WIDTH))
-    for r in range(rounds + 1):
-        models, scales = [], []
-        for k, (rows, pool, width) in enumerate(views):
-            extra = np.array(sorted(given[k]), np.int64)
-            a, b = rows.take(train), pool.take(extra)
-            both = Rows(np.concatenate([a.idx, b.idx]), np.concatenate([a.at, a.at[-1] + b.at[1:]]))
-            models.append(Logistic(width).fit(both, np.append(y[train], [given[k][i] for i in extra])))
-            scales.append(platt(models[k].margins(rows.take(np.flatnonzero(held)))[:, None], y[held]))
-        if r == rounds or not n_pool:
+@dataclass
+class Known:
+    """The labelled rows of a target, ``y`` 0 or 1; every fifth is held out for calibration."""
+
+    text: Rows
+    meta: Rows
+    y: np.ndarray
+
+    def __post_init__(self):
+        held = np.arange(len(self.y)) % 5 == 4
+        self.train, self.held = np.flatnonzero(~held), np.flatnonzero(held)
+        self.learnable = all(len(np.unique(self.y[x])) == 2 for x in (self.train, self.held))
+
+
+def joined(a: Rows, b: Rows) -> Rows:
+    return Rows(np.concatenate([a.idx, b.idx]), np.concatenate([a.at, a.at[-1] + b.at[1:]]))
+
+
+def packed(rows: Rows) -> pa.Array:
+    """Text features in two bytes each; the last N_STATS of a row are statistics, above 1 << WORD_BITS."""
+    raw = rows.idx.astype("<u2").tobytes()
+    return pa.array([raw[2 * p : 2 * q] for p, q in zip(rows.at[:-1].tolist(), rows.at[1:].tolist(), strict=True)], pa.binary())
+
+
+def unpacked(cells: list[bytes], text: bool) -> Rows:
+    at = np.append(0, np.cumsum([len(c) // 2 for c in cells])).astype(np.int64)
+    idx = np.frombuffer(b"".join(cells), "<u2").astype(np.int32)
+    if text:
+        idx[(at[1:, None] - 1 - np.arange(N_STATS)).ravel()] += 1 << WORD_BITS
+    return Rows(idx, at)
+
+
+UNLABELLED = "u double, text binary, meta binary, for_text array<tinyint>, for_meta array<tinyint>"  # labels given, by target; -1 for none
+
+
+def _labels(col: pa.Array, n: int) -> np.ndarray:
+    return col.values.to_numpy().reshape(-1, n) if len(col) else np.zeros((0, n), np.int8)
+
+
+def _sums(df: DataFrame, one, width: int) -> np.ndarray:
+    """The sum of ``one(batch)`` over all batches, ``width`` numbers, in the order of the partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for b in batches:
+            if b.num_rows:
+                total += one(b)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+    out = np.zeros(width)
+    for r in df.coalesce(SUMS).mapInArrow(run, "s binary").collect():
+        out += np.frombuffer(bytes(r.s), np.float64)
+    return out
+
+
+def _margins(b: pa.RecordBatch, targets: list[Target]) -> np.ndarray:
+    """Calibrated margins of a batch: target, view (text, metadata), row."""
+    text, meta = unpacked(b.column("text").to_pylist(), True), unpacked(b.column("meta").to_pylist(), False)
+    return np.array([[t.text.margins(text) * t.text_scale[0] + t.text_scale[1], t.meta.margins(meta) * t.meta_scale[0] + t.meta_scale[1]] for t in targets])
+
+
+def _bins(z: np.ndarray, label: int, sure: float) -> np.ndarray:
+    """Bin of each margin for a label, -1 where the view is not sure."""
+    e = (z if label else -z) - np.log(sure / (1 - sure))
+    return np.where(e < 0, -1, np.minimum((e * BIN).astype(np.int64), BINS - 1))
+
+
+def give_labels(free: DataFrame, targets: list[Target], growth: float, sure: float) -> tuple[DataFrame, int]:
+    """``free`` with the labels of this round, and its rows. For each view, target and label the surest documents of the
+    corpus, up to a share of ``growth``; equally sure ones at the end of the share by a hash of the id. Labels given before stay."""
+    n_t = len(targets)
+    shared = free.sparkSession.sparkContext.broadcast(targets)
+
+    def count(b: pa.RecordBatch) -> np.ndarray:
+        z = _margins(b, shared.value)
+        h = [np.bincount(_bins(z[t, v], label, sure) + 1, minlength=BINS + 1)[1:] for t in range(n_t) for v in (0, 1) for label in (0, 1)]
+        return np.append(np.concatenate(h), b.num_rows)
+
+    got = _sums(free, count, n_t * 4 * BINS + 1)
+    room = max(1, int(growth * got[-1]))
+    h = got[:-1].reshape(n_t, 2, 2, BINS)
+    above = np.flip(np.cumsum(np.flip(h, -1), -1), -1) - h  # surer rows than those of the bin
+    part = np.clip((room - above) / np.maximum(h, 1), 0, 1)  # of each bin
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z, u = _margins(b, shared.value), b.column("u").to_numpy()
+            had = [_labels(b.column(c), n_t).copy() for c in ("for_text", "for_meta")]
+            for t in range(n_t):
+                for v in (0, 1):
+                    for label in (1, 0):
+                        k = _bins(z[t, v], label, sure)
+                        mine = had[1 - v][:, t]  # a view labels for the other
+                        mine[(k >= 0) & (u < part[t, v, label][k]) & (mine < 0)] = label
+            offsets = pa.array(np.arange(b.num_rows + 1) * n_t, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.int8())) for x in had]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], names=b.schema.names)
+
+    return free.mapInArrow(give, UNLABELLED), int(got[-1])
+
+
+def fit_text(free: DataFrame, known: list[Known], start: list[Logistic]) -> tuple[list[Logistic], list[int]]:
+    """The text models fit on training rows and all pseudo-labelled rows, from ``start``; and the number of the latter."""
+    n_t, sc = len(known), free.sparkSession.sparkContext
+    rows = free.where(F.exists("for_text", lambda x: x >= 0)).select("text", "for_text")
+    own = [(k.text.take(k.train), k.y[k.train]) for k in known]
+
+    def seen(b: pa.RecordBatch) -> np.ndarray:
+        x, y = unpacked(b.column("text").to_pylist(), True), _labels(b.column("for_text"), n_t)
+        n = np.diff(x.at)
+        return np.concatenate([np.append(np.bincount(x.idx[np.repeat(y[:, t] >= 0, n)], minlength=WIDTH), (y[:, t] >= 0).sum()) for t in range(n_t)])
+
+    got = _sums(rows, seen, n_t * (WIDTH + 1)).reshape(n_t, -1)
+    use = np.array([got[t, :-1] + np.bincount(own[t][0].idx, minlength=WIDTH) >= LEAST_ROWS for t in range(n_t)])
+    n_all = got[:, -1] + [len(y) for _, y in own]
+
+    def part(x: Rows, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Loss, and the gradient of weights and offset; rows with y < 0 do not count."""
+        z, on = x.margins(w[:-1]) + w[-1], y >= 0
+        err = np.where(on, sigmoid(z) - y, 0.0)
+        loss = float((np.logaddexp(0, z) - y * z)[on].sum())
+        return np.concatenate([[loss], np.bincount(x.idx, weights=np.repeat(err, np.diff(x.at)), minlength=WIDTH), [err.sum()]])
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = sc.broadcast(w)
+
+        def one(b: pa.RecordBatch) -> np.ndarray:
+            x, y = unpacked(b.column("text").to_pylist(), True), _labels(b.column("for_text"), n_t)
+            return np.concatenate([part(x, y[:, t], shared.value[t]) for t in range(n_t)])
+
+        total = _sums(rows, one, n_t * (WIDTH + 2)).reshape(n_t, -1)
+        shared.destroy()
+        total = total + [part(x, y, w[t]) for t, (x, y) in enumerate(own)]
+        total /= n_all[:, None]
+        g = total[:, 1:]
+        g[:, :-1] += L2 * w[:, :-1]
+        g[:, :-1][~use] = 0
+        return float(total[:, 0].sum() + L2 / 2 * (w[:, :-1] ** 2).sum()), g
+
+    w = np.array([np.append(np.where(u, m.w, 0.0), m.b) for u, m in zip(use, start, strict=True)])
+    w = lbfgs(value, w)
+    return [Logistic(WIDTH, x[:-1].astype(np.float32), float(x[-1])) for x in w], got[:, -1].astype(int).tolist()
+
+
+def lbfgs(value, w: np.ndarray, steps: int = STEPS, pairs: int = PAIRS) -> np.ndarray:
+    """``value`` gives the loss and its gradient; each call may be a pass over the data."""
+    f, g = value(w)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, a = g.copy(), []
+        for s, y in reversed(kept):
+            a.append((s * d).sum() / (s * y).sum())
+            d -= a[-1] * y
+        d *= (kept[-1][0] * kept[-1][1]).sum() / (kept[-1][1] ** 2).sum() if kept else 1 / max(np.abs(g).sum(), 1e-12)
+        for (s, y), x in zip(kept, reversed(a), strict=True):
+            d += (x - (y * d).sum() / (s * y).sum()) * s
+        slope, step = (g * d).sum(), 1.0
+        if slope <= 1e-12:
+            break
+        for _ in range(6):
+            new, at = value(w - step * d), w - step * d
+            if new[0] <= f - 1e-4 * step * slope:
+                break
+            step /= 4
+        else:
             break
-        for k, (_, pool, _) in enumerate(views):
-            p = sigmoid(models[k].margins(pool) * scales[k][0] + scales[k][1])
-            other = given[1 - k]
-            for label, q in ((1, p), (0, 1 - p)):
-                best = np.argsort(-q, kind="stable")[: max(1, int(growth * n_pool))]
-                for i in best[q[best] >= sure].tolist():
-                    other.setdefault(i, label)
-    h = np.flatnonzero(held)
-    m = [models[k].margins(rows.take(h)) * scales[k][0] + scales[k][1] for k, (rows, _, _) in enumerate(views)]
-    both = platt(np.column_stack(m), y[held])
-    out = Target(text=models[0], meta=models[1], text_scale=scales[0], meta_scale=scales[1], both=both, exchanged=(len(given[0]), len(given[1])))
-    out.held_out = float(((out.score(text.take(h), meta.take(h)) > 0.5) == (y[held] > 0.5)).mean())
+        s, y = at - w, new[1] - g
+        if (s * y).sum() > 1e-12:
+            kept = [*kept[1 - pairs :], (s, y)] if len(kept) >= pairs else [*kept, (s, y)]
+        w, (f, g) = at, new
+    return w
+
+
+def fit_meta(free: DataFrame, known: list[Known]) -> tuple[list[Logistic], list[int]]:
+    """The metadata models; pseudo-labelled rows count by their feature sets, at most META_WIDTH values a column."""
+    sets = free.where(F.exists("for_meta", lambda x: x >= 0)).groupBy("meta", "for_meta").count().orderBy("meta", "for_meta").collect()
+    out, given = [], []
+    for t, k in enumerate(known):
+        mine = [(bytes(r.meta), r.for_meta[t], r["count"]) for r in sets if r.for_meta[t] >= 0]
+        rows = joined(k.meta.take(k.train), unpacked([m for m, _, _ in mine], False))
+        y = np.append(k.y[k.train], [x for _, x, _ in mine])
+        out.append(Logistic(META_WIDTH).fit(rows, y, np.append(np.ones(len(k.train)), [n for _, _, n in mine])))
+        given.append(int(sum(n for _, _, n in mine)))
+    return out, given
+
+
+def calibrate(t: Target, k: Known) -> None:
+    t.text_scale = platt(t.text.margins(k.text.take(k.held))[:, None], k.y[k.held])
+    t.meta_scale = platt(t.meta.margins(k.meta.take(k.held))[:, None], k.y[k.held])
+
+
+def co_train(free: DataFrame, known: list[Known], rounds: int = ROUNDS, growth: float = GROWTH, sure: float = SURE) -> list[Target]:
+    """One target for each of ``known``; ``free`` has the features of all unlabelled documents, UNLABELLED."""
+    scratch = Scratch(free.sparkSession)
+    free = scratch(free, "cotrain")
+    out = [Target(text=Logistic(WIDTH).fit(k.text.take(k.train), k.y[k.train]), meta=Logistic(META_WIDTH).fit(k.meta.take(k.train), k.y[k.train])) for k in known]
+    for t, k in zip(out, known, strict=True):
+        calibrate(t, k)
+    for _ in range(rounds):
+        labelled, n = give_labels(free, out, growth, sure)
+        if not n:
+            break
+        old, scratch = scratch, Scratch(free.sparkSession)
+        free = scratch(labelled, "cotrain")
+        old.drop()
+        texts, for_text = fit_text(free, known, [t.text for t in out])
+        metas, for_meta = fit_meta(free, known)
+        for i, (t, k) in enumerate(zip(out, known, strict=True)):
+            t.text, t.meta, t.exchanged = texts[i], metas[i], (for_text[i], for_meta[i])
+            calibrate(t, k)
+    scratch.drop()
+    for t, k in zip(out, known, strict=True):
+        text, meta = k.text.take(k.held), k.meta.take(k.held)
+        t.both = platt(np.column_stack([t.text.margins(text) * t.text_scale[0] + t.text_scale[1], t.meta.margins(meta) * t.meta_scale[0] + t.meta_scale[1]]), k.y[k.held])
+        t.held_out = float(((t.score(text, meta) > 0.5) == (k.y[k.held] > 0.5)).mean())
     return out
 
 
@@ -245,36 +441,39 @@ def _sampled(df: DataFrame, key: str, rows: int, total: int, salt: str) -> DataF
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * rows / total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), max_labelled: int = MAX_LABELLED) -> Classifier:
     known = labels.select(F.col(id_col).alias("ct_id"), F.col("quality").cast("double").alias("ct_q"), F.col("toxic").cast("double").alias("ct_t")).where("ct_id IS NOT NULL AND (ct_q IS NOT NULL OR ct_t IS NOT NULL)")
-    meta_cols = [c for c in meta_cols if c in docs.columns]
+    names = [c for c in meta_cols if c in docs.columns]
     chosen = _sampled(known, "ct_id", max_labelled, known.count(), "labelled")
-    pool = _sampled(docs, id_col, max_pool, docs.count(), "pool").join(known.select("ct_id"), F.col(id_col) == F.col("ct_id"), "left_anti")
     with_labels = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("ct_id"))  # bounded by max_labelled
-    cols = [F.col(text_col).alias("ct_text"), F.hash(id_col).alias("ct_o"), *[F.col(c) for c in meta_cols]]
-    both = with_labels.select("ct_q", "ct_t", *cols).unionByName(pool.select(F.lit(None).cast("double").alias("ct_q"), F.lit(None).cast("double").alias("ct_t"), *cols))
-    names = list(meta_cols)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, m = text_features(b.column("ct_text")), meta_features([b.column(c) for c in names], b.num_rows)
-            cut = lambda r: pa.array([r.idx[p:q].astype("<i4").tobytes() for p, q in zip(r.at[:-1].tolist(), r.at[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("ct_q"), b.column("ct_t"), b.column("ct_o"), cut(t), cut(m)], names=["q", "t", "o", "text", "meta"])
-
-    got = both.mapInArrow(features, "q double, t double, o int, text binary, meta binary").toPandas()
-    got = got.sort_values(["o", "text"], kind="stable").reset_index(drop=True)  # the same order whatever task ended first
-
-    def rows(col: str, which) -> Rows:
-        parts = [np.frombuffer(x, "<i4") for x in got.loc[which, col]]
-        return Rows(np.concatenate(parts) if parts else np.zeros(0, np.int32), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64))
-
-    free = got.q.isna() & got.t.isna()
-    pool_text, pool_meta = rows("text", free), rows("meta", free)
-    out = {}
-    for col, default in (("q", 1.0), ("t", 0.0)):
-        which = got[col].notna()
-        out[col] = co_train(rows("text", which), rows("meta", which), (got.loc[which, col].to_numpy() > 0.5).astype(float), pool_text, pool_meta, default)
-    return Classifier(out["q"], out["t"], names)
+    cols = [F.col(text_col).alias("ct_text"), F.hash(id_col).alias("ct_o"), *[F.col(c) for c in names]]
+
+    def features(kept: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                t, m = text_features(b.column("ct_text")), meta_features([b.column(c) for c in names], b.num_rows)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], packed(t), packed(m)], names=[*kept, "text", "meta"])
+
+        return run
+
+    got = with_labels.select("ct_q", "ct_t", *cols).mapInArrow(features(["ct_q", "ct_t", "ct_o"]), "ct_q double, ct_t double, ct_o int, text binary, meta binary").toPandas()
+    got = got.sort_values(["ct_o", "text"], kind="stable").reset_index(drop=True)  # the same order whatever task ended first
+    out, learn = {}, {}
+    for col, default in (("ct_q", 1.0), ("ct_t", 0.0)):
+        x = got[got[col].notna()]
+        k = Known(unpacked(x.text.tolist(), True), unpacked(x.meta.tolist(), False), (x[col].to_numpy() > 0.5).astype(float))
+        if k.learnable:
+            learn[col] = k
+        else:
+            out[col] = Target(constant=float(np.round(k.y.mean())) if len(k.y) else default)
+    if learn:
+        ids = docs.select(F.col(id_col).alias("ct_key"), F.pmod(F.xxhash64(F.col(id_col), F.lit("share")), F.lit(1 << 30)).alias("ct_u"), *cols)
+        id_type = docs.select(id_col).schema[0].dataType.simpleString()
+        free = ids.mapInArrow(features(["ct_key", "ct_u"]), f"ct_key {id_type}, ct_u bigint, text binary, meta binary")
+        free = free.join(known.select("ct_id"), F.col("ct_key") == F.col("ct_id"), "left_anti")
+        none = F.array_repeat(F.lit(-1).cast("tinyint"), len(learn))
+        out |= zip(learn, co_train(free.select((F.col("ct_u") / (1 << 30)).alias("u"), "text", "meta", none.alias("for_text"), none.alias("for_meta")), list(learn.values())), strict=True)
+    return Classifier(out["ct_q"], out["ct_t"], names)
 
 
 def score(docs: DataFrame, model: Classifier, text_col: str = "text", tag: str = "ct") -> DataFrame:
