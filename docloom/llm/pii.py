@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words near by adjust the score.
 
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and non-overlapping for each kind; a match that fails
-its check is dropped without a retry. The method adds ``iban`` (ISO 7064 mod 97) and ``ssn`` (nine digits in groups, kept
+its check is dropped without a retry. The method adds ``iban`` (ISO 7064 mod 97; of a match that fails, shorter ends at its
+blanks are tried, then later starts) and ``ssn`` (nine digits in groups, kept
 only where a context word supports it). Scans are written so that their time is linear in the text: each pattern starts
 only where a run of its characters starts.
 
@@ -92,8 +93,19 @@ def context_score(text: str, kind: int, start: int) -> float:
     return high if any(w in near for w in CONTEXT[KINDS[kind]]) else low
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    m = IBAN.search(text)
+    while m:
+        start, end = m.span()
+        while end > start and not (IBAN.fullmatch(text, start, end) and mod97(text[start:end])):
+            end = text.rfind(" ", start, end)
+        if end > start:
+            yield start, end
+        m = IBAN.search(text, max(end, start + 1))
+
+
 def added_spans(text: str) -> list[tuple[int, int, int]]:
-    out = [(m.start(), 4, m.end()) for m in IBAN.finditer(text) if mod97(m[0])]
+    out = [(a, 4, b) for a, b in ibans(text)]
     if "-" in text:
         out += [(m.start(), 5, m.end()) for m in SSN.finditer(text) if context_score(text, 5, m.start()) >= THRESHOLD]
     return out

@@ -83,3 +83,13 @@ def test_template_markup():
     a = license_scan.Automaton.compile("t", "a <<opt>>b <<opt>>c<</opt>><</opt>> <<var:2>> d")
     assert [a.match(words_of(t), 0) for t in ("a d", "a b d", "a b c d", "a c d", "a x y d", "a x y z d", "b d")] == [2, 3, 4, 3, 4, -1, -1]
     assert license_scan.Automaton.compile("t", "a <<var:1>>").match(words_of("a b c"), 0) == 2
+
+
+def test_iban_before_other_tokens():
+    es, at = "ES9121000418450200051332", "AT611904300234573201"
+    spaced = " ".join(es[i : i + 4] for i in range(0, 24, 4))
+    for t, want in (
+        (f"{es} EUR", [es]), (f"{at} EUR", [at]), (f"{spaced} 2024", [spaced]), (f"pay {spaced} EUR 2024 NOW", [spaced]), (f"{at} {spaced}", [at, spaced]),
+        (f"AB12 {spaced}", [spaced]), (f"{es}x", []), (f"{es[:-1]}3 EUR", []),
+    ):
+        assert [t[a:b] for a, k, b in pii.added_spans(t) if k == 4] == want, t
