@@ -21,6 +21,9 @@ from docloom.llm.wordhash import SPLIT_TABLE, words_of
 
 #: base phrases and their labels, fixed by the contract
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+#: Creative Commons in full words, hyphens or not
+_CC = "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> creative commons"
+_CC_TAIL = "<<opt>>sharealike<</opt>> <<opt>>share alike<</opt>> <<opt>>noderivatives<</opt>> <<opt>>noderivs<</opt>> <<opt>>no derivatives<</opt>> <<opt>>4 0<</opt>> <<opt>>3 0<</opt>> <<opt>>2 5<</opt>> <<opt>>2 0<</opt>> <<opt>>1 0<</opt>> <<opt>>international<</opt>> <<opt>>unported<</opt>> <<opt>>public<</opt>> <<opt>>license<</opt>>"
 #: notices and grants; label, markup
 TEMPLATES = (
     ("mit-notice", "<<opt>>this <<opt>>work<</opt>><<opt>>software<</opt>> is<</opt>> <<opt>>released<</opt>><<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> MIT license"),
@@ -31,6 +34,9 @@ TEMPLATES = (
     ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-nc", "licensed under <<opt>>a<</opt>> <<opt>>creative commons<</opt>> <<opt>>cc<</opt>> by nc <<opt>>sa<</opt>> <<var:2>>"),
     ("cc-by", "licensed under <<opt>>a<</opt>> <<opt>>creative commons<</opt>> cc by <<opt>>sa<</opt>> <<var:2>>"),
+    ("cc-by-nc", f"{_CC} attribution noncommercial {_CC_TAIL}"),
+    ("cc-by-nc", f"{_CC} attribution non commercial {_CC_TAIL}"),
+    ("cc-by", f"{_CC} attribution {_CC_TAIL}"),
 )
 MARK = re.compile(r"<<opt>>|<</opt>>|<<var:(\d+)>>")
 

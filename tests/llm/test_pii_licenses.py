@@ -93,3 +93,14 @@ def test_iban_before_other_tokens():
         (f"AB12 {spaced}", [spaced]), (f"{es}x", []), (f"{es[:-1]}3 EUR", []),
     ):
         assert [t[a:b] for a, k, b in pii.added_spans(t) if k == 4] == want, t
+
+
+def test_creative_commons_in_words(spark):
+    texts = {
+        "licensed under a Creative Commons Attribution 4.0 International License": "cc-by", "licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License.": "cc-by",
+        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc", "licensed under a Creative Commons Attribution-Non-Commercial-NoDerivatives 4.0": "cc-by-nc",
+        "Licensed under a Creative Commons Attribution-NonCommercial license": "cc-by-nc", "licensed under creative commons terms": "", "attribution noncommercial": "",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r for r in license_scan.scan_licenses(df).orderBy("doc_id").collect()]
+    assert [r.labels for r in got] == list(texts.values())
