@@ -6,15 +6,21 @@ on labelled rows. In each round a view labels the unlabelled rows that it is mos
 of the other view. At the end each view is calibrated on held-out labelled rows (Platt) and a logistic of both calibrated
 views scores every document. Quality and toxicity are two targets of the same procedure.
 
-Only the labelled rows that are fitted on are bounded (``max_labelled``). Every unlabelled document is a candidate in every
+A text feature is used where it tells the classes apart: its count among the rows of one class is at least ``LEAST_Z``
+standard deviations from what chance gives. Without that, the many words that a long text has by chance outweigh the few
+that matter.
+
+Only the labelled rows that are fitted on are bounded (``max_labelled``). They are drawn class by class, small classes
+whole, and weighted by how many rows they stand for, so a class of few rows in a large table is not lost. Every unlabelled document is a candidate in every
 round: its features are written once, one pass counts how sure each view is of it, a second gives the pseudo-labels. The
 text view's further fits are L-BFGS steps whose loss and gradient are summed over all pseudo-labelled rows, one pass each;
 the metadata view's rows are counted by their few different feature sets. Scoring reads every document whole.
 
 Defined results: null text has no words and is scored by what is left; null metadata is a value of its own; labels that
 are null are not used; without labels of both kinds a target has the constant score of the only kind (quality 1, toxicity
-0 for no labels), so nothing is rejected for it; repeated rows each get a row; an empty table gives an empty result; other
-columns pass through untouched.
+0 for no labels), so nothing is rejected for it; label rows that repeat whole count once, documents that repeat train and
+score row by row; contradicting labels of one id all count; an empty table gives an empty result; other columns pass through
+untouched.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ STAT_BINS = 16
 N_STATS = 8
 WIDTH = (1 << WORD_BITS) + STAT_BINS * N_STATS
 META_WIDTH = 1 << 12
-LEAST_ROWS = 10
+LEAST_ROWS, LEAST_Z = 10, 3.0
 L2 = 1e-4
 #: L-BFGS steps of a round, the pairs they keep, and the tasks whose sums go to the driver
 STEPS, PAIRS, SUMS = 8, 8, 64
@@ -133,6 +139,16 @@ def meta_features(columns: list[pa.Array], n: int) -> Rows:
     return Rows(out.ravel(), np.arange(n + 1) * len(columns))
 
 
+def telling(seen: np.ndarray, ones: np.ndarray, n: float, n_ones: float, least_z: float) -> np.ndarray:
+    """Which features are in at least LEAST_ROWS rows and lean to a class by ``least_z`` standard deviations.
+
+    ``seen`` and ``ones`` count a feature's rows and those of class 1, ``n`` and ``n_ones`` all rows.
+    """
+    p = n_ones / max(n, 1.0)
+    spread = np.sqrt(np.maximum(seen * p * (1 - p) * (1 - seen / max(n, 1.0)), 1e-12))
+    return (seen >= LEAST_ROWS) & (np.abs(ones - seen * p) >= least_z * spread)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -143,12 +159,13 @@ class Logistic:
     w: np.ndarray = field(default_factory=lambda: np.zeros(0))
     b: float = 0.0
 
-    def fit(self, rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 120, rate: float = 0.3, l2: float = L2) -> Logistic:
-        """Full-batch AdaGrad; features in fewer than LEAST_ROWS rows keep weight 0. ``weight``: how often a row is there."""
+    def fit(self, rows: Rows, y: np.ndarray, weight: np.ndarray, least_z: float = 0.0, times: np.ndarray | None = None, steps: int = 120, rate: float = 0.3, l2: float = L2) -> Logistic:
+        """Full-batch AdaGrad; features that are not ``telling`` keep weight 0. ``weight``: how many rows of the corpus a row
+        stands for; ``times``: how many it was made of, 1 by default."""
         n = np.diff(rows.at)
-        weight = np.ones(len(y)) if weight is None else weight
-        seen = np.bincount(rows.idx, weights=np.repeat(weight, n), minlength=self.width)
-        use = np.flatnonzero(seen >= LEAST_ROWS)
+        times = np.ones(len(y)) if times is None else times
+        seen, ones = (np.bincount(rows.idx, weights=np.repeat(x, n), minlength=self.width) for x in (times, times * y))
+        use = np.flatnonzero(telling(seen, ones, times.sum(), (times * y).sum(), least_z))
         place = np.full(self.width, len(use), np.int64)
         place[use] = np.arange(len(use))
         idx, share = place[rows.idx], weight / weight.sum()
@@ -173,19 +190,30 @@ class Logistic:
         return rows.margins(self.w) + self.b
 
 
-def platt(margins: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
+def platt(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     """Logistic fit on the columns of ``margins`` by Newton steps: their weights and, last, the offset."""
-    x = np.column_stack([margins, np.ones(len(y))])
+    x, share = np.column_stack([margins, np.ones(len(y))]), weight / weight.sum()
     t = np.where(y > 0.5, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))  # softened targets
     c = np.zeros(x.shape[1])
     for _ in range(25):
         p = sigmoid(x @ c)
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x / len(y) + l2 * np.eye(len(c))
-        step = np.linalg.solve(h, x.T @ (p - t) / len(y) + l2 * c)
+        h = (x * (share * (p * (1 - p) + 1e-6))[:, None]).T @ x + l2 * np.eye(len(c))
+        step = np.linalg.solve(h, x.T @ (share * (p - t)) + l2 * c)
         c -= np.clip(step, -5, 5)
     return c
 
 
+def combined(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """``platt`` over both views with no weight below 0: a view that would count against itself is left out."""
+    on = np.ones(margins.shape[1], bool)
+    while True:
+        c = np.zeros(margins.shape[1] + 1)
+        c[np.append(on, True)] = platt(margins[:, on], y, weight)
+        if (c[:-1] >= 0).all():
+            return c
+        on &= c[:-1] >= 0
+
+
 @dataclass
 class Target:
     """Both views' models, their calibration, and the combination. ``constant`` is set where there was nothing to learn."""
@@ -209,14 +237,17 @@ class Target:
 
 @dataclass
 class Known:
-    """The labelled rows of a target, ``y`` 0 or 1; every fifth is held out for calibration."""
+    """The labelled rows of a target, ``y`` 0 or 1, and how many rows each stands for; every fifth of a class is held out
+    for calibration."""
 
     text: Rows
     meta: Rows
     y: np.ndarray
+    weight: np.ndarray
 
     def __post_init__(self):
-        held = np.arange(len(self.y)) % 5 == 4
+        nth = np.where(self.y > 0.5, np.cumsum(self.y > 0.5), np.cumsum(self.y <= 0.5))
+        held = nth % 5 == 0
         self.train, self.held = np.flatnonzero(~held), np.flatnonzero(held)
         self.learnable = all(len(np.unique(self.y[x])) == 2 for x in (self.train, self.held))
 
@@ -314,22 +345,29 @@ def fit_text(free: DataFrame, known: list[Known], start: list[Logistic]) -> tupl
     """The text models fit on training rows and all pseudo-labelled rows, from ``start``; and the number of the latter."""
     n_t, sc = len(known), free.sparkSession.sparkContext
     rows = free.where(F.exists("for_text", lambda x: x >= 0)).select("text", "for_text")
-    own = [(k.text.take(k.train), k.y[k.train]) for k in known]
+    own = [(k.text.take(k.train), k.y[k.train], k.weight[k.train]) for k in known]
+
+    def count(x: Rows, y: np.ndarray) -> np.ndarray:
+        """Rows of each feature, rows of class 1 of each feature, all rows, all of class 1; rows with y < 0 do not count."""
+        n = np.diff(x.at)
+        of = [np.bincount(x.idx[np.repeat(on, n)], minlength=WIDTH) for on in (y >= 0, y == 1)]
+        return np.concatenate([*of, [(y >= 0).sum(), (y == 1).sum()]])
 
     def seen(b: pa.RecordBatch) -> np.ndarray:
         x, y = unpacked(b.column("text").to_pylist(), True), _labels(b.column("for_text"), n_t)
-        n = np.diff(x.at)
-        return np.concatenate([np.append(np.bincount(x.idx[np.repeat(y[:, t] >= 0, n)], minlength=WIDTH), (y[:, t] >= 0).sum()) for t in range(n_t)])
+        return np.concatenate([count(x, y[:, t]) for t in range(n_t)])
 
-    got = _sums(rows, seen, n_t * (WIDTH + 1)).reshape(n_t, -1)
-    use = np.array([got[t, :-1] + np.bincount(own[t][0].idx, minlength=WIDTH) >= LEAST_ROWS for t in range(n_t)])
-    n_all = got[:, -1] + [len(y) for _, y in own]
+    got = _sums(rows, seen, n_t * (2 * WIDTH + 2)).reshape(n_t, -1)
+    n_given = got[:, -2].copy()
+    got += [count(x, y) for x, y, _ in own]
+    use = np.array([telling(g[:WIDTH], g[WIDTH:-2], g[-2], g[-1], LEAST_Z) for g in got])
+    n_all = n_given + [weight.sum() for _, _, weight in own]
 
-    def part(x: Rows, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def part(x: Rows, y: np.ndarray, w: np.ndarray, weight: np.ndarray | float = 1.0) -> np.ndarray:
         """Loss, and the gradient of weights and offset; rows with y < 0 do not count."""
         z, on = x.margins(w[:-1]) + w[-1], y >= 0
-        err = np.where(on, sigmoid(z) - y, 0.0)
-        loss = float((np.logaddexp(0, z) - y * z)[on].sum())
+        err = np.where(on, sigmoid(z) - y, 0.0) * weight
+        loss = float(((np.logaddexp(0, z) - y * z) * weight)[on].sum())
         return np.concatenate([[loss], np.bincount(x.idx, weights=np.repeat(err, np.diff(x.at)), minlength=WIDTH), [err.sum()]])
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -341,7 +379,7 @@ def fit_text(free: DataFrame, known: list[Known], start: list[Logistic]) -> tupl
 
         total = _sums(rows, one, n_t * (WIDTH + 2)).reshape(n_t, -1)
         shared.destroy()
-        total = total + [part(x, y, w[t]) for t, (x, y) in enumerate(own)]
+        total = total + [part(x, y, w[t], weight) for t, (x, y, weight) in enumerate(own)]
         total /= n_all[:, None]
         g = total[:, 1:]
         g[:, :-1] += L2 * w[:, :-1]
@@ -350,7 +388,7 @@ def fit_text(free: DataFrame, known: list[Known], start: list[Logistic]) -> tupl
 
     w = np.array([np.append(np.where(u, m.w, 0.0), m.b) for u, m in zip(use, start, strict=True)])
     w = lbfgs(value, w)
-    return [Logistic(WIDTH, x[:-1].astype(np.float32), float(x[-1])) for x in w], got[:, -1].astype(int).tolist()
+    return [Logistic(WIDTH, x[:-1].astype(np.float32), float(x[-1])) for x in w], n_given.astype(int).tolist()
 
 
 def lbfgs(value, w: np.ndarray, steps: int = STEPS, pairs: int = PAIRS) -> np.ndarray:
@@ -390,21 +428,22 @@ def fit_meta(free: DataFrame, known: list[Known]) -> tuple[list[Logistic], list[
         mine = [(bytes(r.meta), r.for_meta[t], r["count"]) for r in sets if r.for_meta[t] >= 0]
         rows = joined(k.meta.take(k.train), unpacked([m for m, _, _ in mine], False))
         y = np.append(k.y[k.train], [x for _, x, _ in mine])
-        out.append(Logistic(META_WIDTH).fit(rows, y, np.append(np.ones(len(k.train)), [n for _, _, n in mine])))
+        given_times = [n for _, _, n in mine]
+        out.append(Logistic(META_WIDTH).fit(rows, y, np.append(k.weight[k.train], given_times), times=np.append(np.ones(len(k.train)), given_times)))
         given.append(int(sum(n for _, _, n in mine)))
     return out, given
 
 
 def calibrate(t: Target, k: Known) -> None:
-    t.text_scale = platt(t.text.margins(k.text.take(k.held))[:, None], k.y[k.held])
-    t.meta_scale = platt(t.meta.margins(k.meta.take(k.held))[:, None], k.y[k.held])
+    t.text_scale = platt(t.text.margins(k.text.take(k.held))[:, None], k.y[k.held], k.weight[k.held])
+    t.meta_scale = platt(t.meta.margins(k.meta.take(k.held))[:, None], k.y[k.held], k.weight[k.held])
 
 
 def co_train(free: DataFrame, known: list[Known], rounds: int = ROUNDS, growth: float = GROWTH, sure: float = SURE) -> list[Target]:
     """One target for each of ``known``; ``free`` has the features of all unlabelled documents, UNLABELLED."""
     scratch = Scratch(free.sparkSession)
     free = scratch(free, "cotrain")
-    out = [Target(text=Logistic(WIDTH).fit(k.text.take(k.train), k.y[k.train]), meta=Logistic(META_WIDTH).fit(k.meta.take(k.train), k.y[k.train])) for k in known]
+    out = [Target(text=Logistic(WIDTH).fit(k.text.take(k.train), k.y[k.train], k.weight[k.train], LEAST_Z), meta=Logistic(META_WIDTH).fit(k.meta.take(k.train), k.y[k.train], k.weight[k.train])) for k in known]
     for t, k in zip(out, known, strict=True):
         calibrate(t, k)
     for _ in range(rounds):
@@ -422,7 +461,7 @@ def co_train(free: DataFrame, known: list[Known], rounds: int = ROUNDS, growth:
     scratch.drop()
     for t, k in zip(out, known, strict=True):
         text, meta = k.text.take(k.held), k.meta.take(k.held)
-        t.both = platt(np.column_stack([t.text.margins(text) * t.text_scale[0] + t.text_scale[1], t.meta.margins(meta) * t.meta_scale[0] + t.meta_scale[1]]), k.y[k.held])
+        t.both = combined(np.column_stack([t.text.margins(text) * t.text_scale[0] + t.text_scale[1], t.meta.margins(meta) * t.meta_scale[0] + t.meta_scale[1]]), k.y[k.held], k.weight[k.held])
         t.held_out = float(((t.score(text, meta) > 0.5) == (k.y[k.held] > 0.5)).mean())
     return out
 
@@ -434,17 +473,30 @@ class Classifier:
     meta_columns: list[str]
 
 
-def _sampled(df: DataFrame, key: str, rows: int, total: int, salt: str) -> DataFrame:
-    """About ``rows`` of ``total`` rows, chosen by a hash of the key; all if there are no more."""
-    if total <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+def _sampled(known: DataFrame, rows: int) -> DataFrame:
+    """``known`` with ct_w, how many rows each stands for; about ``rows`` rows, chosen by a hash of the id.
+
+    Rows are in classes by both labels (null, 0 or 1: at most nine). Classes share ``rows`` evenly, and what small ones leave
+    goes to the others.
+    """
+    kind = F.concat_ws("/", F.coalesce(F.signum(F.col("ct_q")).cast("int").cast("string"), F.lit("-")), F.coalesce(F.signum(F.col("ct_t")).cast("int").cast("string"), F.lit("-")))
+    known = known.withColumn("ct_kind", kind)
+    sizes = sorted(((r["count"], r.ct_kind) for r in known.groupBy("ct_kind").count().collect()))
+    rates, left = {}, rows
+    for i, (n, k) in enumerate(sizes):
+        take = min(n, left // (len(sizes) - i))
+        rates[k], left = take / n, left - take
+    rate = F.lit(1.0)
+    for k, r in rates.items():
+        rate = F.when(F.col("ct_kind") == k, F.lit(r)).otherwise(rate)
+    drawn = F.pmod(F.xxhash64(F.col("ct_id"), F.lit("labelled")), F.lit(1 << 30)) < rate * float(1 << 30)
+    return known.withColumn("ct_w", 1.0 / F.greatest(rate, F.lit(1e-12))).where(drawn).drop("ct_kind")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), max_labelled: int = MAX_LABELLED) -> Classifier:
-    known = labels.select(F.col(id_col).alias("ct_id"), F.col("quality").cast("double").alias("ct_q"), F.col("toxic").cast("double").alias("ct_t")).where("ct_id IS NOT NULL AND (ct_q IS NOT NULL OR ct_t IS NOT NULL)")
+    known = labels.select(F.col(id_col).alias("ct_id"), F.col("quality").cast("double").alias("ct_q"), F.col("toxic").cast("double").alias("ct_t")).where("ct_id IS NOT NULL AND (ct_q IS NOT NULL OR ct_t IS NOT NULL)").distinct()
     names = [c for c in meta_cols if c in docs.columns]
-    chosen = _sampled(known, "ct_id", max_labelled, known.count(), "labelled")
+    chosen = _sampled(known, max_labelled)
     with_labels = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("ct_id"))  # bounded by max_labelled
     cols = [F.col(text_col).alias("ct_text"), F.hash(id_col).alias("ct_o"), *[F.col(c) for c in names]]
 
@@ -456,12 +508,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return run
 
-    got = with_labels.select("ct_q", "ct_t", *cols).mapInArrow(features(["ct_q", "ct_t", "ct_o"]), "ct_q double, ct_t double, ct_o int, text binary, meta binary").toPandas()
-    got = got.sort_values(["ct_o", "text"], kind="stable").reset_index(drop=True)  # the same order whatever task ended first
+    own = "ct_q double, ct_t double, ct_w double, ct_o int, text binary, meta binary"
+    got = with_labels.select("ct_q", "ct_t", "ct_w", *cols).mapInArrow(features(["ct_q", "ct_t", "ct_w", "ct_o"]), own).toPandas()
+    got = got.sort_values(["ct_o", "text", "meta"], kind="stable").reset_index(drop=True)  # the same order whatever task ended first
     out, learn = {}, {}
     for col, default in (("ct_q", 1.0), ("ct_t", 0.0)):
         x = got[got[col].notna()]
-        k = Known(unpacked(x.text.tolist(), True), unpacked(x.meta.tolist(), False), (x[col].to_numpy() > 0.5).astype(float))
+        k = Known(unpacked(x.text.tolist(), True), unpacked(x.meta.tolist(), False), (x[col].to_numpy() > 0.5).astype(float), x.ct_w.to_numpy())
         if k.learnable:
             learn[col] = k
         else:
