@@ -2,7 +2,8 @@
 
 Byte-level BPE cuts a text before every single space or newline that stands between non-space characters, and never
 merges over such a cut. So pieces between cuts are deduplicated in Arrow, encoded once by the library and kept in a
-bounded cache; texts with any other white space or with a special token go to the library whole.
+cache of bounded bytes; texts with any other white space or with a special token go to the library, long ones in parts that
+end at such cuts. Texts are worked on about a megabyte at a time, and ``task_encoder`` gives all memory back with the task.
 """
 
 from __future__ import annotations
@@ -11,21 +12,27 @@ import gc
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
 from docloom.llm.wordhash import chunks, segment_hashes, string_buffers
+from docloom.llm.worker import release
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which can start a token of its own
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
-CACHE_WORDS = 1_500_000
-CHUNK_BYTES = 8 << 20
+#: cached words and their bytes in a generation, and what an entry takes besides its bytes
+CACHE_WORDS, CACHE_BYTES, ENTRY_BYTES = 400_000, 40 << 20, 150
+CHUNK_BYTES = 1 << 20
+#: longer texts go to the library in parts, cut at single spaces between letters
+PART_CHARS = 1 << 16
+SAFE_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -58,36 +65,52 @@ def odd_spacing(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class CachedEncoder:
-    """``encode(column)`` gives one id array per text, equal to the library's own result."""
+    """``encode(column)`` gives one id array per text, equal to the library's own result.
 
-    def __init__(self, path: str = DEFAULT, specials_as_text: bool = False, dtype: str = "<u2", words: int = CACHE_WORDS):
+    The cache has two generations: when the younger is full, the older goes; pieces in use move to the younger.
+    """
+
+    def __init__(self, path: str = DEFAULT, specials_as_text: bool = False, dtype: str = "<u2", words: int = CACHE_WORDS, cache_bytes: int = CACHE_BYTES):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = specials_as_text
         self.specials = [] if specials_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.parts = Tokenizer(self.whole.model)
+        self.parts_only = Tokenizer(self.whole.model)
         self.alphabet = _byte_alphabet()
-        self.dtype, self.code, self.words = dtype, {"<u2": "H", "<u4": "I"}[dtype], words
-        self.cache: dict[bytes, bytes] = {}
+        self.dtype, self.code = dtype, {"<u2": "H", "<u4": "I"}[dtype]
+        self.words, self.cache_bytes = words, cache_bytes
         self.newline = self._bytes(self.whole.encode("\n", add_special_tokens=False).ids)
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
     def _fill(self, pieces: list[bytes]) -> None:
-        """Pieces begin with a space, with a newline, or stand at the start of a text."""
+        """Brings all pieces into the younger generation. They begin with a space, with a newline, or stand at the start of a text."""
+        if self.held > self.cache_bytes or len(self.young) > self.words:
+            self.old, self.young, self.held = self.young, {}, 0
         gc.disable()  # many small tuples live through this call; walking them again and again costs more than the work
         try:
-            self._fill_cache(pieces, self.cache)
+            self._fill_cache(pieces)
         finally:
             gc.enable()
 
-    def _fill_cache(self, pieces: list[bytes], cache: dict[bytes, bytes]) -> None:
-        if len(cache) > self.words:
-            cache.clear()
+    def _keep(self, raw: bytes, ids: bytes) -> None:
+        self.young[raw] = ids
+        self.held += len(raw) + len(ids) + ENTRY_BYTES
+
+    def _fill_cache(self, pieces: list[bytes]) -> None:
         wanted: set[str] = set()
         split, odd = [], []
         for raw in pieces:
-            if raw in cache:
+            if raw in self.young:
+                continue
+            if (ids := self.old.get(raw)) is not None:
+                self._keep(raw, ids)
                 continue
             p = raw.decode("utf-8", "surrogatepass")
             line = p[0] == "\n"
@@ -104,13 +127,22 @@ class CachedEncoder:
         words = list(wanted)
         coded = [w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet) for w in words]
         coded = ["Ġ" + w[1:] if w[0] == " " else w for w in coded]
-        got = dict(zip(words, [self._bytes(e.ids) for e in self.parts.encode_batch_fast(coded, add_special_tokens=False)], strict=True))
+        got = dict(zip(words, [self._bytes(e.ids) for e in self.parts_only.encode_batch_fast(coded, add_special_tokens=False)], strict=True))
         for raw, line, a, b in split:
             ids = got[a] + got[b] if b else got[a]
-            cache[raw] = self.newline + ids if line else ids
+            self._keep(raw, self.newline + ids if line else ids)
         if odd:
             for (raw, line, _), e in zip(odd, self.whole.encode_batch_fast([s for _, _, s in odd], add_special_tokens=False), strict=True):
-                cache[raw] = self.newline + self._bytes(e.ids) if line else self._bytes(e.ids)
+                self._keep(raw, self.newline + self._bytes(e.ids) if line else self._bytes(e.ids))
+
+    def _by_library(self, text: str) -> np.ndarray:
+        cuts, at = [0], 0
+        while len(text) - at > PART_CHARS and (m := SAFE_CUT.search(text, at + PART_CHARS)):
+            at = m.start()
+            cuts.append(at)
+        cuts.append(len(text))
+        ids = [np.array(self.whole.encode_batch_fast([text[a:b]], add_special_tokens=False)[0].ids, dtype=self.dtype) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.concatenate(ids)
 
     def _plain(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Texts without odd spacing."""
@@ -118,13 +150,13 @@ class CachedEncoder:
         cut[off[:-1][off[:-1] < len(raw)]] = True
         at = np.append(np.flatnonzero(cut), len(raw))
         start = at[:-1]
-        idx, first = pd.factorize(segment_hashes(raw, start, np.diff(at)))
-        seen = np.full(len(first), len(start), np.int64)
-        np.minimum.at(seen, idx, np.arange(len(start)))
+        idx = pa.array(segment_hashes(raw, start, np.diff(at))).dictionary_encode().indices.to_numpy()
+        # codes are given in the order in which pieces come first
+        seen = np.flatnonzero(np.append(True, idx[1:] > np.maximum.accumulate(idx)[:-1])) if len(idx) else idx
         data = raw.tobytes()
         pieces = [data[a:b] for a, b in zip(start[seen].tolist(), at[seen + 1].tolist(), strict=True)]
         self._fill(pieces)
-        each = list(map(self.cache.__getitem__, pieces))
+        each = list(map(self.young.__getitem__, pieces))
         size = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.dtype).itemsize
         flat = np.frombuffer(b"".join(each), self.dtype)
         first = np.cumsum(size) - size
@@ -134,9 +166,9 @@ class CachedEncoder:
         bounds = np.append(0, end)[np.searchsorted(at, off)]
         return [ids[bounds[i] : bounds[i + 1]] for i in range(len(off) - 1)]
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+    def parts(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
+        """Id arrays of about CHUNK_BYTES of texts at a time."""
         raw, off = string_buffers(texts)
-        out: list[np.ndarray] = []
         for i, j in chunks(off, CHUNK_BYTES):
             part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
             odd = odd_spacing(part, at)
@@ -145,20 +177,21 @@ class CachedEncoder:
                 if (whole := part.tobytes()).find(b) >= 0:
                     hits = [m.start() for m in re.finditer(re.escape(b), whole)]
                     odd[np.searchsorted(at, np.array(hits), side="right") - 1] = True
-            if odd.any():
-                size = np.diff(at)
-                keep = np.flatnonzero(~odd)
-                slow = [texts[i + int(k)].as_py() for k in np.flatnonzero(odd)]
-                mine: list = [None] * (j - i)
-                for k, e in zip(np.flatnonzero(odd), self.whole.encode_batch(slow, add_special_tokens=False), strict=True):
-                    mine[k] = np.array(e.ids, dtype=self.dtype)
-                body = part[np.repeat(~odd, size)]
-                for k, ids in zip(keep, self._plain(body, np.append(0, np.cumsum(size[keep]))), strict=True):
-                    mine[k] = ids
-                out += mine
-            else:
-                out += self._plain(part, at)
-        return out
+            if not odd.any():
+                yield self._plain(part, at)
+                continue
+            size = np.diff(at)
+            keep = np.flatnonzero(~odd)
+            mine: list = [None] * (j - i)
+            for k in np.flatnonzero(odd).tolist():
+                mine[k] = self._by_library(texts[i + k].as_py())
+            body = part[np.repeat(~odd, size)]
+            for k, ids in zip(keep, self._plain(body, np.append(0, np.cumsum(size[keep]))), strict=True):
+                mine[k] = ids
+            yield mine
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        return [ids for part in self.parts(texts) for ids in part]
 
 
 _MADE: dict[tuple, CachedEncoder] = {}
@@ -172,6 +205,17 @@ def encoder(path: str = DEFAULT, specials_as_text: bool = False, dtype: str = "<
     return _MADE[key]
 
 
+@contextmanager
+def task_encoder(path: str = DEFAULT, specials_as_text: bool = False, dtype: str = "<u2") -> Iterator[CachedEncoder]:
+    """The worker's encoder for one task; what it has cached goes when the task ends, the tokenizer stays."""
+    enc = encoder(path, specials_as_text, dtype)
+    try:
+        yield enc
+    finally:
+        enc.clear()
+        release()
+
+
 def id_dtype(path: str = DEFAULT) -> str:
     """Narrowest unsigned type that holds every id of the vocabulary."""
     return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"

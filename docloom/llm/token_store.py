@@ -2,49 +2,39 @@
 
 Documents are ordered by key over range partitions; each task writes one shard: ``*.ids``, the flat little-endian ids
 (16 bits where the vocabulary allows, else 32), and ``*.idx``, which has the token offsets, the keys, and a minimal perfect
-hash from key to (fingerprint, first record, number of records). The table of shards lists only files of tasks that
-succeeded, so repeated or speculative attempts leave no trace in results.
+hash from key to (fingerprint, first record, number of records). The table of shards has each shard's first and last key, so
+a lookup opens the shards that can hold the key and no other; it lists only files of tasks that succeeded, so repeated or
+speculative attempts leave no trace in results. The number of shards follows from bytes and rows.
 
 Defined results: null text counts as empty (its end id is still written); a null key sorts first and is looked up as None;
-rows that share a key are neighbours, ordered by text, and are found together; an empty table gives an empty store; other
-columns are ignored.
+rows that share a key are neighbours, ordered by a hash of their text; where they are too many for a shard they go on in the
+next one, and a lookup finds all; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm import encode
-from docloom.llm.perfect_hash import PerfectHash, pack, unpack
+from docloom.llm.perfect_hash import PerfectHash, pack
 from docloom.llm.storage import materialise, new_folder, open_fs
-from docloom.llm.wordhash import mix, segment_hashes, string_buffers
+from docloom.llm.token_read import Shard, fingerprints, key_hashes, lookup, read_store
+from docloom.llm.worker import lean
 
-END_ID = 2
-READ_IDS = 2 << 20
-SHARDS = "part int, path string, dtype string, n_docs long, n_tokens long"
-
-
-def key_hashes(keys: pa.Array) -> np.ndarray:
-    """64-bit hash of each key's text; a null key is hashed as one byte that no UTF-8 text holds."""
-    text = keys.cast(pa.string())
-    raw, off = string_buffers(text)
-    h = segment_hashes(raw, off[:-1], np.diff(off))
-    h[np.asarray(pc.is_null(text))] = segment_hashes(np.array([255], np.uint8), np.array([0]), np.array([1]))[0]
-    return h
+__all__ = ["Shard", "lookup", "read_store", "store_and_read", "write_store"]
 
-
-def fingerprints(h: np.ndarray) -> np.ndarray:
-    return (mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)).astype(np.uint32)
+END_ID = 2
+#: text bytes and rows of a shard
+SHARD_BYTES, SHARD_ROWS = 48 << 20, 500_000
 
 
 def _index(keys: pa.Array, sizes: np.ndarray) -> bytes:
@@ -61,109 +51,51 @@ def _index(keys: pa.Array, sizes: np.ndarray) -> bytes:
     return pack(mph.arrays() | {"fp": fp, "first": first, "count": count, "offsets": offsets, "keys": np.frombuffer(sink.getvalue(), np.uint8)})
 
 
-def write_store(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", tokenizer: str = encode.DEFAULT, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
-    """Writes the shards and returns their table: part, path, dtype, n_docs, n_tokens, and start, the ids in shards before."""
+def write_store(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", tokenizer: str = encode.DEFAULT, end_id: int = END_ID, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards and returns their table: part, path, dtype, n_docs, n_tokens, first_key, last_key, and start, the ids in
+    shards before."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     dtype = encode.id_dtype(tokenizer)
     src = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    # rows of one key may be many: the hash of the text splits them, and keeps equal keys in neighbouring shards
-    src = src.withColumn("h", F.xxhash64("text")).repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text")
+    kind = src.schema["key"].dataType.simpleString()
+    size = src.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_shards = max(1, math.ceil(size.bytes / shard_bytes), math.ceil(size.rows / SHARD_ROWS))
+    # rows of one key may be many: the hash of the text, and for equal texts the place they come from, spread them
+    src = src.withColumn("h", F.xxhash64("text")).withColumn("p", F.spark_partition_id()).repartitionByRange(n_shards, "key", "h", "p").sortWithinPartitions("key", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         files, root = open_fs(folder)
         name = f"shard-{part:06d}-{uuid.uuid4().hex}"
-        enc = encode.encoder(tokenizer, dtype=dtype)
         keys, sizes, out = [], [], None
         end = np.array([end_id], dtype)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                files.create_dir(root, recursive=True)
-                out = files.open_output_stream(f"{root}/{name}.ids")
-            ids = enc.encode(b.column(1))
-            out.write(np.concatenate([x for d in ids for x in (d, end)]).tobytes())
-            sizes.append(np.fromiter((len(d) + 1 for d in ids), np.int64, len(ids)))
-            keys.append(b.column(0))
+        with encode.task_encoder(tokenizer, dtype=dtype) as enc:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                if out is None:
+                    files.create_dir(root, recursive=True)
+                    out = files.open_output_stream(f"{root}/{name}.ids")
+                for ids in enc.parts(b.column(1)):
+                    out.write(np.concatenate([x for d in ids for x in (d, end)]).tobytes())
+                    sizes.append(np.fromiter((len(d) + 1 for d in ids), np.int64, len(ids)))
+                keys.append(b.column(0).take(pa.array(np.arange(b.num_rows))))  # a copy: a column holds its whole batch, texts and all
         if out is None:
             return
         out.close()
-        n = np.concatenate(sizes)
+        n, keys = np.concatenate(sizes), pa.chunked_array(keys).combine_chunks()
         with files.open_output_stream(f"{root}/{name}.idx") as f:
-            f.write(_index(pa.chunked_array(keys).combine_chunks(), n))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "dtype": [dtype], "n_docs": pa.array([len(n)], pa.int64()), "n_tokens": pa.array([int(n.sum())], pa.int64())})
+            f.write(_index(keys, n))
+        one = [pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([dtype]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), keys.slice(0, 1), keys.slice(len(keys) - 1)]
+        yield pa.RecordBatch.from_arrays(one, names=["part", "path", "dtype", "n_docs", "n_tokens", "first_key", "last_key"])
 
-    shards = materialise(src.mapInArrow(run, SHARDS), "token-shards")
+    schema = f"part int, path string, dtype string, n_docs long, n_tokens long, first_key {kind}, last_key {kind}"
+    shards = materialise(src.select("key", "text").mapInArrow(lean(run), schema), "token-shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-class Shard:
-    def __init__(self, path: str, dtype: str):
-        self.files, at = open_fs(path)
-        self.payload, self.dtype = f"{at}.ids", np.dtype(dtype)
-        with self.files.open_input_file(f"{at}.idx") as f:
-            a = unpack(f.read())
-        self.mph = PerfectHash.load(a)
-        self.fp, self.first, self.count, self.offsets = a["fp"], a["first"], a["count"], a["offsets"]
-        self.keys = pa.ipc.open_stream(pa.py_buffer(a["keys"].tobytes())).read_all().column("key").combine_chunks()
-
-    def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """First record and number of records of each key; -1 and 0 where the store has no such key."""
-        h = key_hashes(keys)
-        slot = self.mph.slots(h)
-        ok = slot >= 0
-        ok[ok] = self.fp[slot[ok]] == fingerprints(h[ok])
-        first, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        first[ok], count[ok] = self.first[slot[ok]], self.count[slot[ok]]
-        return first, count
-
-    def ids(self, file, a: int, b: int) -> np.ndarray:
-        """Ids from token a to token b of the shard."""
-        file.seek(a * self.dtype.itemsize)
-        return np.frombuffer(file.read((b - a) * self.dtype.itemsize), self.dtype)
-
-    def get(self, key) -> list[list[int]]:
-        """The id arrays of all records of a key, without their end ids."""
-        first, count = self.find(pa.array([key], self.keys.type))
-        with self.files.open_input_file(self.payload) as f:
-            return [self.ids(f, int(self.offsets[r]), int(self.offsets[r + 1]) - 1).tolist() for r in range(int(first[0]), int(first[0] + count[0]))]
-
-
-def read_store(spark: SparkSession, shards: DataFrame, key_type: str = "bigint") -> DataFrame:
-    """Every document of the store, read back through the index: doc_id, start, n_tokens, ids_crc32."""
-    n = max(1, shards.count())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, dtype, start in zip(b.column("path").to_pylist(), b.column("dtype").to_pylist(), b.column("start").to_pylist(), strict=True):
-                yield from records(Shard(path, dtype), start)
-
-    def records(s: Shard, start: int) -> Iterator[pa.RecordBatch]:
-        h = key_hashes(s.keys)
-        head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        first, count = s.find(s.keys.take(pa.array(head)))
-        if (first < 0).any() or int(count.sum()) != len(s.keys):
-            raise ValueError(f"{s.payload}: the index does not match its records")
-        order = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        with s.files.open_input_file(s.payload) as f:
-            i = 0
-            while i < len(order):
-                j = max(i + 1, int(np.searchsorted(s.offsets, s.offsets[order[i]] + READ_IDS, side="right")) - 1)
-                j = min(j, len(order))
-                lo, hi = int(s.offsets[order[i]]), int(s.offsets[order[j - 1] + 1])
-                ids = s.ids(f, lo, hi).astype("<u4")
-                a, z = s.offsets[order[i:j]], s.offsets[order[i:j] + 1]
-                crc = [zlib.crc32(ids[p - lo : q - lo]) for p, q in zip(a.tolist(), z.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([s.keys.take(pa.array(order[i:j])), pa.array(a + start), pa.array(z - a), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-                i = j
-
-    spread = shards.select("part", "path", "dtype", "start").repartitionByRange(n, "part")
-    return spread.mapInArrow(run, f"doc_id {key_type}, start long, n_tokens long, ids_crc32 long")
-
-
 def store_and_read(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     shards = materialise(write_store(docs, key_col, text_col, **kw), "token-index")
     return read_store(docs.sparkSession, shards, docs.schema[key_col].dataType.simpleString())

@@ -76,3 +76,56 @@ def test_scan_stitches_blocks(spark, tmp_path):
     for block in (1, 2, 3, 5, 100):
         got = sorted((r.ordinal, r.start, r.n_tokens, r.closed) for r in token_count.scan_separators(f, separator=9, block_ids=block).collect())
         assert got == [(0, 0, 1, True), (1, 2, 0, True), (2, 3, 7, True), (3, 11, 2, False)]
+
+
+def test_long_texts_with_odd_spacing():
+    """Such texts go to the library in parts; the ids are those of the whole."""
+    rng = random.Random(5)
+    many = [" ".join(rng.choice(["word", "x1", "Été", "don't", "a  b", "end.\n\n", "\tz"]) for _ in range(40_000)), "a\t" + "b" * 200_000, "x  y" + "é" * 100_000 + " a b"]
+    e = encode.CachedEncoder()
+    for t, ids in zip(many, e.encode(pa.array(many)), strict=True):
+        assert ids.tolist() == e.whole.encode(t, add_special_tokens=False).ids
+
+
+def test_cache_is_bounded():
+    e = encode.CachedEncoder(cache_bytes=100_000)
+    for i in range(40):
+        e.encode(pa.array([" ".join(f"w{i}x{j}" for j in range(1000))]))
+        assert e.held < 100_000 + 1000 * 300 and len(e.young) + len(e.old) < 4000
+
+
+def test_lookup_opens_only_fitting_shards(spark, monkeypatch):
+    docs = spark.createDataFrame([(i // 3, f"text {i} " * 20) for i in range(900)], "doc_id long, text string")
+    shards = token_store.write_store(docs, shard_bytes=20_000)
+    assert shards.count() > 4
+    from docloom.llm import token_read
+
+    opened = []
+
+    class Counted(token_read.Shard):
+        def __init__(self, path, dtype):
+            opened.append(path)
+            super().__init__(path, dtype)
+
+    monkeypatch.setattr(token_read, "Shard", Counted)
+    e = encode.encoder()
+    for k in (0, 17, 299):
+        opened.clear()
+        got = token_store.lookup(shards, k)
+        assert sorted(got) == sorted(e.whole.encode(f"text {i} " * 20, add_special_tokens=False).ids for i in range(3 * k, 3 * k + 3)) and len(opened) <= 2
+    assert token_store.lookup(shards, 300) == [] and token_store.lookup(shards, None) == []
+
+
+def test_one_key_in_many_shards(spark):
+    """A key with all rows, of equal texts too, is spread over shards and found whole."""
+    docs = spark.createDataFrame([(7, "same words again and again " * 10)] * 400, "doc_id long, text string").repartition(4)
+    shards = token_store.write_store(docs, shard_bytes=20_000)
+    assert shards.count() > 1 and len(token_store.lookup(shards, 7)) == 400
+
+
+def test_foreign_fingerprint_is_refused(spark):
+    """A key whose hash meets another's slot and fingerprint gets nothing."""
+    s = token_store.write_store(spark.createDataFrame([(1, "one")], "doc_id long, text string")).first()
+    shard = token_store.Shard(s.path, s.dtype)
+    shard.fp[:] = token_store.fingerprints(token_store.key_hashes(pa.array([2])))
+    assert shard.get(2) == []
