@@ -2,16 +2,14 @@
 
 Byte-level BPE cuts a text before every single space or newline that stands between non-space characters, and never
 merges over such a cut. So pieces between cuts are deduplicated in Arrow, encoded once by the library and kept in a
-cache of bounded bytes; texts with any other white space or with a special token go to the library, long ones in parts that
+cache of bounded size; texts with any other white space or with a special token go to the library, long ones in parts that
 end at such cuts. Texts are worked on about a megabyte at a time, and ``task_encoder`` gives all memory back with the task.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -25,23 +23,16 @@ from docloom.llm.worker import release
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which can start a token of its own
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
-#: cached words and their bytes in a generation, and what an entry takes besides its bytes
-CACHE_WORDS, CACHE_BYTES, ENTRY_BYTES = 400_000, 40 << 20, 150
+#: pieces that the library encodes in one call
+MISSING = 1 << 15
+#: words in a generation of the cache
+CACHE_WORDS = 1_000_000
 CHUNK_BYTES = 1 << 20
 #: longer texts go to the library in parts, cut at single spaces between letters
 PART_CHARS = 1 << 16
 SAFE_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 def odd_spacing(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Per text: is there white space other than single spaces and newlines between other characters?"""
     n = len(off) - 1
@@ -64,76 +55,110 @@ def odd_spacing(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+class WordIds:
+    """Ids of words that are known by 96 bits of hash, in arrays sorted by hash: some 30 bytes a word."""
+
+    def __init__(self, dtype: str):
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, dtype)
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 for others."""
+        if not len(self):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self) - 1)
+        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """Flat ids of the words at these places."""
+        return self.flat[_ranges(self.start[at], self.size[at])]
+
+    def add(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        start = len(self.flat) + np.cumsum(size) - size
+        if len(self):
+            key, check, start, size = (np.concatenate(x) for x in ((self.key, key[order]), (self.check, check[order]), (self.start, start[order]), (self.size, size[order])))
+            order = np.argsort(key, kind="stable")  # two sorted runs
+        self.key, self.check, self.start, self.size = key[order], check[order], start[order], size[order].astype(np.int32)
+        self.flat = np.concatenate([self.flat, flat])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, and so on."""
+    end = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+
+
 class CachedEncoder:
     """``encode(column)`` gives one id array per text, equal to the library's own result.
 
-    The cache has two generations: when the younger is full, the older goes; pieces in use move to the younger.
+    The cache has two generations: when the younger is full, the older goes; words in use move to the younger. New words
+    are gathered in ``fresh`` before they are sorted into it.
     """
 
-    def __init__(self, path: str = DEFAULT, specials_as_text: bool = False, dtype: str = "<u2", words: int = CACHE_WORDS, cache_bytes: int = CACHE_BYTES):
+    def __init__(self, path: str = DEFAULT, specials_as_text: bool = False, dtype: str = "<u2", words: int = CACHE_WORDS):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = specials_as_text
         self.specials = [] if specials_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.parts_only = Tokenizer(self.whole.model)
-        self.alphabet = _byte_alphabet()
-        self.dtype, self.code = dtype, {"<u2": "H", "<u4": "I"}[dtype]
-        self.words, self.cache_bytes = words, cache_bytes
-        self.newline = self._bytes(self.whole.encode("\n", add_special_tokens=False).ids)
+        self.dtype, self.words = dtype, words
+        (self.newline,) = self.whole.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def _fill(self, pieces: list[bytes]) -> None:
-        """Brings all pieces into the younger generation. They begin with a space, with a newline, or stand at the start of a text."""
-        if self.held > self.cache_bytes or len(self.young) > self.words:
-            self.old, self.young, self.held = self.young, {}, 0
-        gc.disable()  # many small tuples live through this call; walking them again and again costs more than the work
-        try:
-            self._fill_cache(pieces)
-        finally:
-            gc.enable()
-
-    def _keep(self, raw: bytes, ids: bytes) -> None:
-        self.young[raw] = ids
-        self.held += len(raw) + len(ids) + ENTRY_BYTES
-
-    def _fill_cache(self, pieces: list[bytes]) -> None:
-        wanted: set[str] = set()
-        split, odd = [], []
-        for raw in pieces:
-            if raw in self.young:
-                continue
-            if (ids := self.old.get(raw)) is not None:
-                self._keep(raw, ids)
-                continue
-            p = raw.decode("utf-8", "surrogatepass")
-            line = p[0] == "\n"
-            s = p[1:] if line else p
-            a = s.rstrip(PUNCTUATION)
-            if LETTERS(a[1:] if a[:1] == " " else a):
-                b = s[len(a) :]
-                wanted.add(a)
-                if b:
-                    wanted.add(b)
-                split.append((raw, line, a, b))
-            else:
-                odd.append((raw, line, s))
-        words = list(wanted)
-        coded = [w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet) for w in words]
-        coded = ["Ġ" + w[1:] if w[0] == " " else w for w in coded]
-        got = dict(zip(words, [self._bytes(e.ids) for e in self.parts_only.encode_batch_fast(coded, add_special_tokens=False)], strict=True))
-        for raw, line, a, b in split:
-            ids = got[a] + got[b] if b else got[a]
-            self._keep(raw, self.newline + ids if line else ids)
-        if odd:
-            for (raw, line, _), e in zip(odd, self.whole.encode_batch_fast([s for _, _, s in odd], add_special_tokens=False), strict=True):
-                self._keep(raw, self.newline + self._bytes(e.ids) if line else self._bytes(e.ids))
+        self.fresh, self.young, self.old = WordIds(self.dtype), WordIds(self.dtype), WordIds(self.dtype)
+
+    def _remember(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        self.fresh.add(key, check, size, flat)
+        if len(self.fresh) > self.words // 8:
+            if len(self.young) + len(self.fresh) > self.words:
+                self.old, self.young = self.young, WordIds(self.dtype)
+            f = self.fresh
+            self.young.add(f.key, f.check, f.size, f.take(np.arange(len(f))))
+            self.fresh = WordIds(self.dtype)
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and flat ids of pieces that have white space at most as their first byte. One call for all, as lines of one
+        text: a newline is a token of its own there, and nothing else has its id."""
+        line = np.array([p[:1] == b"\n" for p in pieces], bool)
+        text = b"".join([p if on else b"\n" + p for p, on in zip(pieces, line.tolist(), strict=True)])
+        ids = np.array(self.whole.encode_batch_fast([text.decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        begin = np.flatnonzero(ids == self.newline)
+        if len(begin) != len(pieces):
+            raise ValueError("the tokenizer does not keep newlines apart")
+        size = np.diff(np.append(begin, len(ids))) - ~line
+        keep = np.ones(len(ids), bool)
+        keep[begin[~line]] = False
+        return size, ids[keep]
+
+    def _words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and flat ids of distinct pieces of ``raw``, from the cache or the library."""
+        check = segment_hashes(raw, start, end - start, seed=1).astype(np.uint32)
+        size = np.full(len(start), -1, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # pieces, their flat ids
+        left = np.arange(len(start))
+        for known in (self.young, self.fresh, self.old):
+            at = known.find(key[left], check[left])
+            hit = at >= 0
+            size[left[hit]] = known.size[at[hit]]
+            parts.append((left[hit], known.take(at[hit])))
+            left = left[~hit]
+        again = parts[-1]
+        data = raw.tobytes()
+        for i in range(0, len(left), MISSING):
+            own = left[i : i + MISSING]
+            size[own], flat = self._pieces([data[a:b] for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+            parts.append((own, flat))
+        for own, flat in [again, *parts[3:]]:
+            if len(own):
+                self._remember(key[own], check[own], size[own], flat)
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), self.dtype)
+        for own, flat in parts:
+            out[_ranges(first[own], size[own])] = flat
+        return size, out
 
     def _by_library(self, text: str) -> np.ndarray:
         cuts, at = [0], 0
@@ -150,20 +175,14 @@ class CachedEncoder:
         cut[off[:-1][off[:-1] < len(raw)]] = True
         at = np.append(np.flatnonzero(cut), len(raw))
         start = at[:-1]
-        idx = pa.array(segment_hashes(raw, start, np.diff(at))).dictionary_encode().indices.to_numpy()
+        hashes = segment_hashes(raw, start, np.diff(at))
+        idx = pa.array(hashes).dictionary_encode().indices.to_numpy()
         # codes are given in the order in which pieces come first
         seen = np.flatnonzero(np.append(True, idx[1:] > np.maximum.accumulate(idx)[:-1])) if len(idx) else idx
-        data = raw.tobytes()
-        pieces = [data[a:b] for a, b in zip(start[seen].tolist(), at[seen + 1].tolist(), strict=True)]
-        self._fill(pieces)
-        each = list(map(self.young.__getitem__, pieces))
-        size = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.dtype).itemsize
-        flat = np.frombuffer(b"".join(each), self.dtype)
-        first = np.cumsum(size) - size
-        n = size[idx]
-        end = np.cumsum(n)
-        ids = flat[np.repeat(first[idx] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)]
-        bounds = np.append(0, end)[np.searchsorted(at, off)]
+        size, flat = self._words(raw, start[seen], at[seen + 1], hashes[seen])
+        first, n = np.cumsum(size) - size, size[idx]
+        ids = flat[_ranges(first[idx], n)]
+        bounds = np.append(0, np.cumsum(n))[np.searchsorted(at, off)]
         return [ids[bounds[i] : bounds[i + 1]] for i in range(len(off) - 1)]
 
     def parts(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:

@@ -40,12 +40,12 @@ def constants(n: int, seed: int = 1) -> np.ndarray:
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
-def segment_hashes(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def segment_hashes(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of each byte range, read eight bytes at a time."""
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
     with np.errstate(over="ignore"):
-        h = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (eight[start] & _MASK[np.minimum(size, 8)]))
+        h = mix((size.astype(np.uint64) + np.uint64(1 + seed)) * np.uint64(0x9E3779B97F4A7C15) ^ (eight[start] & _MASK[np.minimum(size, 8)]))
         on, at = np.flatnonzero(size > 8), 8
         while len(on):
             rest = size[on] - at

@@ -88,10 +88,11 @@ def test_long_texts_with_odd_spacing():
 
 
 def test_cache_is_bounded():
-    e = encode.CachedEncoder(cache_bytes=100_000)
+    e = encode.CachedEncoder(words=2000)
     for i in range(40):
-        e.encode(pa.array([" ".join(f"w{i}x{j}" for j in range(1000))]))
-        assert e.held < 100_000 + 1000 * 300 and len(e.young) + len(e.old) < 4000
+        t = " ".join(f"w{i}x{j}" for j in range(1000))
+        assert e.encode(pa.array([t]))[0].tolist() == e.whole.encode(t, add_special_tokens=False).ids
+        assert len(e.young) <= 2000 and len(e.old) <= 2000 and len(e.fresh) <= 1000
 
 
 def test_lookup_opens_only_fitting_shards(spark, monkeypatch):
