@@ -84,20 +84,32 @@ def deep_shallow_order(strings: list[bytes], depth: int = 0, shallow: int = SHAL
     return out
 
 
+class Prefixes:
+    """Longest common prefixes of ``strings``, from their sorted order and its neighbours' prefixes; all agree in their first
+    ``depth`` bytes. Memory is linear in the number of strings."""
+
+    def __init__(self, strings: list[bytes], depth: int = 0):
+        distinct: dict[bytes, int] = {}
+        code = np.array([distinct.setdefault(s, len(distinct)) for s in strings])
+        own = list(distinct)
+        order = deep_shallow_order(own, depth)
+        self.near = np.array([lcp(own[i], own[j]) for i, j in zip(order[:-1], order[1:], strict=True)], np.int32)
+        self.size = np.array([len(own[i]) for i in order], np.int32)
+        rank = np.empty(len(own), np.int64)
+        rank[order] = np.arange(len(own))
+        self.rank = rank[code]
+
+    def row(self, i: int) -> np.ndarray:
+        """The prefix that string i shares with each."""
+        k = int(self.rank[i])
+        out = np.empty(len(self.size), np.int32)
+        out[k] = self.size[k]
+        out[k + 1 :] = np.minimum.accumulate(self.near[k:])
+        out[:k] = np.minimum.accumulate(self.near[:k][::-1])[::-1]
+        return out[self.rank]
+
+
 def common_prefixes(strings: list[bytes], depth: int = 0) -> np.ndarray:
-    """Matrix of the longest common prefixes of ``strings``, from their sorted order and its neighbours' prefixes."""
-    distinct: dict[bytes, int] = {}
-    code = np.array([distinct.setdefault(s, len(distinct)) for s in strings])
-    own = list(distinct)
-    order = deep_shallow_order(own, depth)
-    near = np.array([lcp(own[i], own[j]) for i, j in zip(order[:-1], order[1:], strict=True)], np.int32)
-    n = len(own)
-    out = np.zeros((n, n), np.int32)
-    for k in range(n - 1):
-        low = np.minimum.accumulate(near[k:])
-        out[k, k + 1 :] = low
-        out[k + 1 :, k] = low
-    out[np.arange(n), np.arange(n)] = [len(own[i]) for i in order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    return out[np.ix_(rank[code], rank[code])]
+    """All rows of ``Prefixes``."""
+    p = Prefixes(strings, depth)
+    return np.array([p.row(i) for i in range(len(strings))])

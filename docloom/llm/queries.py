@@ -42,7 +42,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

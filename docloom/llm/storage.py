@@ -45,7 +45,7 @@ class Scratch:
     """Writes tables that only an operator's own steps read; ``drop`` removes them once its results are written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = new_folder(self.spark, name)
@@ -53,7 +53,19 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        """A table in n buckets by ``key``: joins and aggregations by it need no shuffle of this side. Where ``df`` is dealt by
+        ``key`` over a divisor of n partitions, as after an aggregation by it, each task writes buckets of its own."""
+        path, table = new_folder(self.spark, name), f"docloom_{uuid.uuid4().hex}"
+        self.paths.append(path)
+        self.tables.append(table)
+        df.write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self) -> None:
+        for t in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.tables = []
         for p in self.paths:
             remove(self.spark, p)
         self.paths = []

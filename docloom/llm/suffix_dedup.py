@@ -1,15 +1,20 @@
 """Removal of repeated byte strings by sparse suffix sorting.
 
 A byte goes if some string of ``length`` bytes that covers it starts at another place too, in any document. A full suffix
-array of the corpus is not needed for that: every window of ``length`` bytes names one anchor, the smallest of its
-``gram``-byte hashes (leftmost on ties), which depends on its content alone. Consecutive windows with the same anchor form
-a piece, so equal windows always lie in pieces whose anchors have equal grams: those are the buckets of the sort.
+array of the corpus is not needed for that: every window of bytes names one anchor, the smallest of its ``gram``-byte hashes
+(leftmost on ties), which depends on its content alone. Equal windows so have anchors with equal grams, at the same distance;
+the anchors of one gram are a bucket. A bucket's suffixes and its reversed prefixes, up to ``length`` bytes of each, are
+sorted (deep-shallow: multikey quicksort, then blind tries). Neighbours' common prefixes give how far two places agree to
+the left and to the right; if that is ``length`` bytes together, the whole stretch repeats.
 
-- Pieces that are equal as a whole settle each other by their digest, with sums that combine before the shuffle.
-- What is left of a bucket is sorted by its suffixes and reversed prefixes at the anchor (deep-shallow sorting: multikey
-  quicksort, then blind tries). Neighbours' common prefixes give, for each pair, the range of windows that are equal.
-- Buckets of more than ``most`` pieces are first split by ranges of windows and by the bytes that all windows of a range
-  share, again and again down to single windows, so that no task ever holds an unbounded bucket.
+- Texts that occur more than once repeat whole; one of them stands for all, so what follows sees distinct texts only.
+- Anchors of a bucket with equal bytes all around are one string in the order, with a count.
+- A bucket of more than ``most`` different strings is first split by ranges of windows and by the bytes that all windows of
+  a range share; what is still too many then goes by single windows. So no task holds more than ``most`` strings of a
+  bucket. Only the strings at both ends of a passage that stands in more than ``most`` contexts come as far as that.
+
+``passage`` asks for a second, shorter length: bytes in strings of that length which repeat are counted from the same order,
+beside the removal.
 
 Defined results: null text counts as empty; texts below ``length`` bytes stay whole; repeated rows remove each other;
 windows overlap and are judged on the input; an empty table gives an empty result; other columns are ignored.
@@ -25,13 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.deep_shallow import common_prefixes
+from docloom.llm.deep_shallow import Prefixes, lcp
 from docloom.llm.grouping import sorted_groups
 from docloom.llm.storage import Scratch, materialise
-from docloom.llm.wordhash import chunks, mix, segment_hashes, string_buffers
-
-LENGTH, GRAM, MOST = 400, 100, 512
-WIDTHS = (32, 6, 1)
+from docloom.llm.wordhash import chunks, mix, string_buffers
+from docloom.llm.worker import lean
+
+LENGTH, GRAM, MOST = 400, 64, 4096
+#: bytes of a repeated passage that the query reports; 50 words in European languages are about 250 to 350
+PASSAGE = 250
+#: windows that a large bucket's strings are split by at first
+WIDTH = 32
+#: window starts of a long text that are looked at together, and bytes of text in a bucket of the table of texts
+BLOCK, TABLE_BYTES = 1 << 20, 64 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 PLACE_BITS = np.uint64(40)
 _POWERS: dict[str, np.ndarray] = {}
@@ -49,13 +60,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
-    n = len(raw) - gram + 1
-    up, down = _powers(len(raw))
-    total = np.append(np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up))
-    return mix((total[gram:] - total[:n]) * down[:n])
-
-
 def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values, in time that doesn't depend on w."""
     n = len(x) - w + 1
@@ -66,182 +70,252 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], fore[w - 1 : w - 1 + n])
 
 
-def pieces_of(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text index, first window, last window, anchor (all relative to the text), gram hash and piece digest."""
-    size = np.diff(off)
-    if not len(raw) or size.max() < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    g = gram_hashes(raw, gram)
-    keyed = (g >> PLACE_BITS << PLACE_BITS) | np.arange(len(g), dtype=np.uint64)
-    anchor = (window_minima(keyed, length - gram + 1) & np.uint64((1 << 40) - 1)).astype(np.int64)
-    count = np.maximum(size - length + 1, 0)
-    owner = np.repeat(np.arange(len(size)), count)
-    start = np.repeat(off[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    at = anchor[start]
-    new = np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(start)) - 1
-    lo, hi, a, own = start[head], start[tail], at[head], owner[head]
-    digest = segment_hashes(raw, lo, hi + length - lo) ^ mix((a - lo).astype(np.uint64))
-    base = off[own]
-    return own, lo - base, hi - base, a - base, g[a].view(np.int64), digest.view(np.int64)
-
-
-def equal_windows(pieces: list[tuple[bytes, int, int, int]], length: int) -> np.ndarray:
-    """For pieces (bytes, lo, hi, anchor) of one bucket: which distances window-to-anchor occur in another piece too."""
-    right = common_prefixes([p[a - lo :] for p, lo, _, a in pieces])
-    left = common_prefixes([p[: a - lo][::-1] for p, lo, _, a in pieces])
-    first, last = np.maximum(length - right, 0), left
-    ok = first <= last
-    np.fill_diagonal(ok, False)
-    x, y = np.nonzero(ok)
-    edge = np.zeros((len(pieces), length + 2), np.int32)
-    np.add.at(edge, (x, first[x, y]), 1)
-    np.add.at(edge, (x, last[x, y] + 1), -1)
-    return np.cumsum(edge, axis=1)[:, : length + 1] > 0
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
+def anchors_of(raw: np.ndarray, off: np.ndarray, least: int, gram: int, length: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, ...]:
+    """Text index, anchor (from the start of the text), gram hash, hash of the bytes around it, and bytes to its right.
 
-
-ROW = "grp long, hull long, th binary, lo int, hi int, a int"
-
-
-def _settle(rows: DataFrame, length: int, name: str, write: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Marks (th, from, to) of pieces that occur whole elsewhere, and the pieces left, one for each class, with n and m.
-
-    ``m`` is the number of classes in the bucket. Buckets in which nothing is left to compare are gone.
+    ``off`` bounds the texts in ``raw``. Only windows that start from ``first`` to before ``last`` are looked at.
     """
-    more = [c for c in rows.columns if c == "piece"]
-    cls = write(
-        rows.groupBy("grp", "hull").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("th", "lo", "hi", "a", *more)).alias("p")).select("grp", "hull", "n", "p.*"), f"{name}-classes"
-    )
-    stats = cls.groupBy("grp").agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
-    stats = write(stats.where("n_all > 1"), f"{name}-buckets")
-    whole = write(cls.where("n > 1").select("grp", "hull"), f"{name}-whole")
-    marks = rows.join(whole, ["grp", "hull"]).select("th", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
-    left = cls.join(stats.where("m > 1 AND least = 1").select("grp", "m"), "grp").select("grp", "th", "lo", "hi", "a", "n", "m", *more)
-    return write(marks, f"{name}-marks"), left
-
-
-def repeated_marks(docs: DataFrame, write: Scratch, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """``docs`` has text and th, a digest of it. Returns th, from, to: byte ranges that repeat (they may overlap)."""
+    n, count = len(raw) - gram + 1, np.maximum(np.diff(off) - least + 1, 0)
+    if n < 1 or not count.any():
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    up, down = _powers(len(raw) + 1)
+    total = np.append(np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1]))
+    g = mix((total[gram:] - total[:n]) * down[:n])
+    keyed = (g >> PLACE_BITS << PLACE_BITS) | np.arange(n, dtype=np.uint64)
+    at = (window_minima(keyed, least - gram + 1) & np.uint64((1 << 40) - 1)).astype(np.int64)
+    owner = np.repeat(np.arange(len(count)), count)
+    start = np.repeat(off[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    if first or last is not None:
+        on = (start >= first) & (start < (len(raw) if last is None else last))
+        owner, start = owner[on], start[on]
+    at = at[start]  # anchors never go back within a text
+    new = np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))[: len(at)]
+    a, own = at[new], owner[new]
+    lo, hi = np.maximum(off[own], a - length), np.minimum(off[own + 1], a + length)
+    around = mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)) ^ mix((a - lo + 1).astype(np.uint64))
+    return own, a - off[own], g[a].view(np.int64), around.view(np.int64), hi - a
+
+
+def text_anchors(raw: np.ndarray, off: np.ndarray, least: int, gram: int, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``anchors_of`` for some texts, or for a long one block by block."""
+    if len(off) > 2 or len(raw) <= 2 * BLOCK:
+        yield anchors_of(raw, off, least, gram, length)
+        return
+    before = -1
+    for s in range(0, len(raw) - least + 1, BLOCK):
+        lo, hi = max(0, s - length), min(len(raw), s + BLOCK + least + length)
+        own, a, g, d, right = anchors_of(raw[lo:hi], np.array([0, hi - lo]), least, gram, length, s - lo, s + BLOCK - lo)
+        on = a + lo > before
+        if on.any():
+            before = int(a[-1]) + lo
+        yield own[on], a[on] + lo, g[on], d[on], right[on]
+
+
+def extents(pieces: list[bytes], anchors: list[int], lengths: list[int], depth: int = 0) -> np.ndarray:
+    """How far each piece's repeated stretch goes to the left and right of its anchor: lengths x pieces x 2, 0 for none.
+
+    All stretches of one piece meet at its anchor, so the longest to each side say it all.
+    """
+    n = len(pieces)
+    out = np.zeros((len(lengths), n, 2), np.int64)
+    left, right = [p[:a][::-1] for p, a in zip(pieces, anchors, strict=True)], [p[a:] for p, a in zip(pieces, anchors, strict=True)]
+    if n == 2:
+        x, y = lcp(left[0], left[1]), lcp(right[0], right[1])
+        for k, length in enumerate(lengths):
+            if x + y >= length:
+                out[k] = x, y
+        return out
+    before, after = Prefixes(left), Prefixes(right, depth)
+    for i in range(n):
+        x, y = before.row(i), after.row(i)
+        x[i] = y[i] = -1
+        both = x + y
+        for k, length in enumerate(lengths):
+            ok = both >= length
+            if ok.any():
+                out[k, i] = x[ok].max(), y[ok].max()
+    return out
+
+
+MARK = "th binary, kind int, from int, to int"
+MARK_TYPES = [pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+
+
+def _marks(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in MARK_TYPES]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, MARK_TYPES, strict=True)], names=["th", "kind", "from", "to"])
+
+
+def repeated_marks(texts: DataFrame, write: Scratch, lengths: list[int], gram: int, most: int) -> DataFrame:
+    """``texts`` has distinct texts and th, a digest of each. Returns th, kind (place in ``lengths``), from, to: byte ranges that
+    repeat; they may overlap."""
+    least, length = min(lengths), max(lengths)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = string_buffers(b.column("text"))
             th = b.column("th")
             for i, j in chunks(off):
-                own, lo, hi, a, g, d = pieces_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), th.take(pa.array(own + i)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, a))], names=["grp", "hull", "th", "lo", "hi", "a"])
-
-    found = write(docs.select("th", "text").mapInArrow(cut, ROW), "suffix-pieces")
-    marks, left = _settle(found, length, "suffix", write)
-    left = write(left, "suffix-left")
-
-    # bytes of the pieces that are left, from one copy of each text
-    wanted = left.groupBy("th").agg(F.collect_list(F.struct("grp", "lo", "hi", "a", "n", "m")).alias("pieces"))
-    texts = docs.groupBy("th").agg(F.first("text").alias("text")).join(write(wanted, "suffix-wanted"), "th")
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["grp", "th", "lo", "hi", "a", "n", "m", "piece"]
-    schema = "grp long, th binary, lo int, hi int, a int, n long, m long, piece binary"
+                for own, a, g, d, right in text_anchors(raw[off[i] : off[j]], off[i : j + 1] - off[i], least, gram, length):
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), th.take(pa.array(own + i)), pa.array(a.astype(np.int32)), pa.array(right.astype(np.int32))], names=["grp", "around", "th", "a", "right"])
+
+    found = write(texts.select("th", "text").mapInArrow(lean(cut), "grp long, around long, th binary, a int, right int"), "suffix-anchors")
+    met = found.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp")
+    shared = write(found.join(met, "grp", "left_semi"), "suffix-shared")
+    classes = write(shared.groupBy("grp", "around").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("th", "a")).alias("p")).select("grp", "around", "n", "p.th", "p.a"), "suffix-strings")
+
+    # equal strings: each of them repeats as far as it goes
+    same = shared.join(classes.where("n > 1").select("grp", "around"), ["grp", "around"], "left_semi")
+    kinds = F.filter(F.array(*[F.when(F.least(F.col("a"), F.lit(length)) + F.col("right") >= x, F.lit(k)) for k, x in enumerate(lengths)]), lambda k: k.isNotNull())
+    reach = same.select("th", F.explode(kinds).alias("kind"), (F.col("a") - F.least(F.col("a"), F.lit(length))).alias("from"), (F.col("a") + F.col("right")).alias("to"))
+    marks = [write(reach, "suffix-marks")]
+
+    # different strings of a bucket are sorted; their bytes come from their texts
+    sizes = write(classes.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "suffix-buckets")
+    wanted = classes.join(sizes, "grp").groupBy("th").agg(F.collect_list(F.struct("grp", "a", "n", "m")).alias("places"))  # as many as the text has anchors
+    names, types = ["grp", "th", "a", "n", "m", "left", "piece"], [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    schema = "grp long, th binary, a int, n long, m long, left int, piece binary"
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 text, th = b.column("text")[i].as_py().encode("utf-8", "surrogatepass"), b.column("th")[i].as_py()
-                rows = [(p["grp"], th, p["lo"], p["hi"], p["a"], p["n"], p["m"], text[p["lo"] : p["hi"] + length]) for p in b.column("pieces")[i].as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    pieces = write(texts.select("th", "text", "pieces").mapInArrow(attach, schema), "suffix-bytes")
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in sorted_groups(batches, "grp"):
-            th, lo, hi, a, n, piece = (table.column(c).to_pylist() for c in ("th", "lo", "hi", "a", "n", "piece"))
-            out = []
-            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                same = equal_windows([(piece[i], lo[i], hi[i], a[i]) for i in range(s, e)], length)
-                for i in range(s, e):
-                    if n[i] == 1:  # others are marked already
-                        for near, far in _runs(same[i - s, a[i] - hi[i] : a[i] - lo[i] + 1]):
-                            base = a[i] - hi[i]
-                            out.append((th[i], a[i] - base - far, a[i] - base - near + length))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["th", "from", "to"])
-
-    def split(width: int):
+                places = b.column("places")[i].as_py()
+                for k in range(0, len(places), 4096):
+                    rows = [(p["grp"], th, p["a"], p["n"], p["m"], min(p["a"], length), text[max(0, p["a"] - length) : p["a"] + length]) for p in places[k : k + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    pieces = write(texts.select("th", "text").join(write(wanted, "suffix-wanted"), "th").select("th", "text", "places").mapInArrow(lean(attach), schema), "suffix-bytes")
+
+    def sort(of: list[int]):
+        """Sorts buckets and marks what repeats of ``lengths`` at the places ``of``; strings with a count are marked already."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, at in sorted_groups(batches, "grp"):
+                th, a, n, left, piece = (table.column(c).to_pylist() for c in ("th", "a", "n", "left", "piece"))
+                out = []
+                for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    reached = extents(piece[s:e], left[s:e], [lengths[k] for k in of], gram)
+                    for k, i, _ in zip(*np.nonzero(reached[:, :, 1:]), strict=True):
+                        x, y = reached[k, i].tolist()
+                        if n[s + i] == 1:
+                            out.append((th[s + i], of[k], a[s + i] - x, a[s + i] + y))
+                yield _marks(out)
+
+        return lean(run)
+
+    def sorted_marks(p: DataFrame, of: list[int]) -> DataFrame:
+        few = p.where(F.col("m") <= most).select("grp", "th", "a", "n", "left", "piece")
+        return few.repartition("grp").sortWithinPartitions("grp").mapInArrow(sort(of), MARK)
+
+    marks.append(sorted_marks(pieces, list(range(len(lengths)))))
+    large = pieces.where(F.col("m") > most)
+    if large.isEmpty():
+        return _union(marks)
+
+    def split(kind: int, width: int):
+        """One row for each range of windows: what they share is the bucket, all they cover the string."""
+        size = lengths[kind]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = []
-                for grp, th, lo, hi, a, piece in zip(*(b.column(c).to_pylist() for c in ("grp", "th", "lo", "hi", "a", "piece")), strict=True):
-                    for k in range((a - hi) // width, (a - lo) // width + 1):
-                        near, far = max(k * width, a - hi), min(k * width + width - 1, a - lo)
-                        core = piece[a - k * width - lo : a + length - (k * width + width - 1) - lo]
-                        hull = piece[a - far - lo : a + length - near - lo]
+                for grp, th, a, n, left, piece in zip(*(b.column(c).to_pylist() for c in ("grp", "th", "a", "n", "left", "piece")), strict=True):
+                    near, far = max(0, left + size - len(piece)), min(left, size - gram)  # distances of window starts from the anchor
+                    for k in range(near // width, far // width + 1) if near <= far else ():
+                        x, y = max(near, k * width), min(far, k * width + width - 1)
+                        core, hull = piece[left - k * width : left - (k * width + width - 1) + size], piece[left - y : left - x + size]
                         key = hashlib.blake2b(core, digest_size=8, key=b"%d %d %d" % (grp, width, k)).digest()
-                        dig = hashlib.blake2b(hull, digest_size=8, key=b"%d %d" % (near, far)).digest()
-                        rows.append((int.from_bytes(key, "little", signed=True), int.from_bytes(dig, "little", signed=True), th, a - far, a - near, a, hull))
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                        dig = hashlib.blake2b(hull, digest_size=16, key=b"%d %d" % (x, y)).digest()
+                        rows.append((int.from_bytes(key, "little", signed=True), dig, th, a, n, y, hull if width > 1 else b"", a - y, a - x + size))
+                types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["grp", "hull", "th", "lo", "hi", "a", "piece"])
-
-        return run
-
-    def sorted_marks(p: DataFrame) -> DataFrame:
-        few = p.where(F.col("m") <= most).select("grp", "th", "lo", "hi", "a", "n", "piece")
-        return few.repartition("grp").sortWithinPartitions("grp").mapInArrow(sort, "th binary, from int, to int")
-
-    marks = marks.unionByName(sorted_marks(pieces))
-    for width in WIDTHS:
-        large = pieces.where((F.col("m") > most))
-        if large.isEmpty():
-            break
-        rows = write(large.select("grp", "th", "lo", "hi", "a", "piece").mapInArrow(split(width), ROW + ", piece binary"), f"suffix-split-{width}")
-        whole, pieces = _settle(rows, length, f"suffix-{width}", write)
-        pieces = write(pieces, f"suffix-left-{width}")
-        marks = marks.unionByName(whole).unionByName(sorted_marks(pieces))
-    return marks
-
-
-NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, with_text: bool = False) -> DataFrame:
-    """One row per document: bytes, removed bytes, removed runs, digest of what stays (and the kept bytes, if asked for)."""
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["grp", "hull", "th", "a", "n", "left", "piece", "from", "to"])
+
+        return lean(run)
+
+    for kind in range(len(lengths)):
+        rest = large
+        for width in (WIDTH, 1):
+            schema = "grp long, hull binary, th binary, a int, n long, left int, piece binary, from int, to int"
+            rows = write(rest.select("grp", "th", "a", "n", "left", "piece").mapInArrow(split(kind, width), schema), f"suffix-split-{kind}-{width}")
+            hulls = write(rows.groupBy("grp", "hull").agg(F.sum("n").alias("n"), F.first(F.struct("th", "a", "left", "piece")).alias("p")).select("grp", "hull", "n", "p.*"), f"suffix-hulls-{kind}-{width}")
+            whole = rows.where("n = 1").join(hulls.where("n > 1").select("grp", "hull"), ["grp", "hull"], "left_semi")
+            marks.append(write(whole.select("th", F.lit(kind).alias("kind"), "from", "to"), f"suffix-whole-{kind}-{width}"))
+            if width == 1:
+                break  # the window itself is the string: nothing is left to sort
+            m = write(hulls.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"suffix-ranges-{kind}")
+            left = write(hulls.drop("hull").join(m, "grp"), f"suffix-left-{kind}")
+            marks.append(sorted_marks(left, [kind]))
+            rest = left.where(F.col("m") > most)
+            if rest.isEmpty():
+                break
+    return _union(marks)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+NAMES = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def runs_of(spans: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of packed ranges (from in the upper 32 bits, to in the lower)."""
+    out: list[tuple[int, int]] = []
+    for s in np.sort(spans).tolist():
+        start, end = s >> 32, s & 0xFFFFFFFF
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, passage: int | None = None, with_text: bool = False) -> DataFrame:
+    """One row per document: bytes, removed bytes, removed runs, digest of what stays. With ``passage``, also the bytes and runs
+    of repeated strings of that length (n_passage_bytes, n_passages); with ``with_text``, the kept bytes."""
+    lengths = [length, *([passage] if passage else [])]
     text = F.coalesce(F.col(text_col), F.lit(""))
+    spark, write = docs.sparkSession, Scratch(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("th"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    write = Scratch(docs.sparkSession)
-    marks = repeated_marks(src.select("th", "text"), write, length, gram, most)
-    packed = F.shiftleft(F.col("from").cast("long"), 32) + F.col("to")  # one number a range keeps the lists small
-    spans = materialise(marks.groupBy("th").agg(F.collect_list(packed).alias("spans")), "suffix-spans")
-    write.drop()
-
-    def keep(raw: bytes, spans: np.ndarray) -> tuple[bytes, int]:
-        """What stays of a text, and how many runs went."""
-        kept, done, runs = [], 0, 0
-        for s in np.sort(spans).tolist():
-            start, end = s >> 32, s & 0xFFFFFFFF
-            if start > done or not runs:
-                kept.append(raw[done:start])
-                runs += 1
-            done = max(done, end)
-        return b"".join([*kept, raw[done:]]), runs
+    members = materialise(src.select("doc_id", "th", F.octet_length("text").alias("size")), "suffix-members")
+    # distinct texts lie in buckets by their digest, so that nothing that is joined to them later moves a text again
+    size = members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks * (size // (TABLE_BYTES * tasks) + 1)
+    distinct = src.groupBy("th").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    texts = write.bucketed(distinct, "suffix-texts", "th", n)
+
+    marks = repeated_marks(texts, write, lengths, gram, most)
+    packed = F.shiftleft(F.col("from").cast("long"), 32) + F.col("to")
+    spans = marks.groupBy("th").agg(*[F.collect_list(F.when(F.col("kind") == k, packed)).alias(f"spans{k}") for k in range(len(lengths))])  # two numbers an anchor of the text
+    names = [*NAMES, *(["n_passage_bytes", "n_passages"] if passage else []), *(["kept"] if with_text else [])]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.int64(), pa.int64()] if passage else []), *([pa.binary()] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if with_text else 4]
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 rows = []
-                for t, s in zip(b.column("text"), b.column("spans"), strict=True):
+                for t, copies, *lists in zip(*(b.column(c) for c in ("text", "copies", *(f"spans{k}" for k in range(len(lengths))))), strict=True):
                     raw = t.as_py().encode("utf-8", "surrogatepass")
-                    kept, runs = keep(raw, s.values.to_numpy()) if s.is_valid else (raw, 0)
-                    rows.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept)[: len(types)])
+                    own = [[(0, len(raw))] if copies.as_py() > 1 and len(raw) >= x else runs_of(s.values.to_numpy()) if s.is_valid and len(s) else [] for x, s in zip(lengths, lists, strict=True)]
+                    ends = [0, *[y for _, y in own[0]]]
+                    kept = b"".join([raw[p:q] for p, q in zip(ends, [*[x for x, _ in own[0]], len(raw)], strict=True)])
+                    row = [len(raw), len(raw) - len(kept), len(own[0]), hashlib.sha256(kept).hexdigest()]
+                    if passage:
+                        row += [sum(y - x for x, y in own[1]), len(own[1])]
+                    rows.append([*row, kept][: len(types)])
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, t) for x, t in zip(cols, types, strict=True)]], names=[*NAMES, *["kept"] * with_text])
+                yield pa.RecordBatch.from_arrays([b.column("th"), *[pa.array(x, t) for x, t in zip(cols, types, strict=True)]], names=["th", *names])
 
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return src.join(spans.hint("shuffle_hash"), "th", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    schema = "th binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passage_bytes long, n_passages long" * bool(passage) + ", kept binary" * with_text
+    judged = texts.join(write(spans, "suffix-spans"), "th", "left").select("th", "text", "copies", *[f"spans{k}" for k in range(len(lengths))])
+    results = materialise(judged.mapInArrow(lean(run), schema), "suffix-results")
+    write.drop()
+    return members.join(results, "th").select("doc_id", *names)
