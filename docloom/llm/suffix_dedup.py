@@ -36,7 +36,7 @@ from docloom.llm.storage import Scratch, materialise
 from docloom.llm.wordhash import chunks, mix, string_buffers
 from docloom.llm.worker import lean
 
-LENGTH, GRAM, MOST = 400, 64, 4096
+LENGTH, GRAM, MOST = 400, 64, 512
 #: bytes of a repeated passage that the query reports; 50 words in European languages are about 250 to 350
 PASSAGE = 250
 #: windows that a large bucket's strings are split by at first
@@ -161,7 +161,7 @@ def repeated_marks(texts: DataFrame, write: Scratch, lengths: list[int], gram: i
                         yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), th.take(pa.array(own + i)), pa.array(a.astype(np.int32)), pa.array(right.astype(np.int32))], names=["grp", "around", "th", "a", "right"])
 
     found = write(texts.select("th", "text").mapInArrow(lean(cut), "grp long, around long, th binary, a int, right int"), "suffix-anchors")
-    met = found.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp")
+    met = write(found.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp"), "suffix-met")
     shared = write(found.join(met, "grp", "left_semi"), "suffix-shared")
     classes = write(shared.groupBy("grp", "around").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("th", "a")).alias("p")).select("grp", "around", "n", "p.th", "p.a"), "suffix-strings")
 
