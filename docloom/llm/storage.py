@@ -46,12 +46,24 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.tables = spark, [], []
+        self.where: dict[int, tuple[DataFrame, str]] = {}
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = new_folder(self.spark, name)
         df.write.parquet(path)
         self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.where[id(out)] = out, path
+        return out
+
+    def forget(self, *tables: DataFrame) -> None:
+        """Removes tables that no later step reads. Spark deletes the shuffle files of finished steps when the driver's
+        collector finds them unused, so it is asked to look."""
+        for t in tables:
+            _, path = self.where.pop(id(t))
+            self.paths.remove(path)
+            remove(self.spark, path)
+        self.spark._jvm.System.gc()
 
     def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
         """A table in n buckets by ``key``: joins and aggregations by it need no shuffle of this side. Where ``df`` is dealt by
@@ -68,4 +80,4 @@ class Scratch:
         self.tables = []
         for p in self.paths:
             remove(self.spark, p)
-        self.paths = []
+        self.paths, self.where = [], {}

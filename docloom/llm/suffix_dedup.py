@@ -10,8 +10,9 @@ the left and to the right; if that is ``length`` bytes together, the whole stret
 - Texts that occur more than once repeat whole; one of them stands for all, so what follows sees distinct texts only.
 - Anchors of a bucket with equal bytes all around are one string in the order, with a count.
 - A bucket of more than ``most`` different strings is first split by ranges of windows and by the bytes that all windows of
-  a range share; what is still too many then goes by single windows. So no task holds more than ``most`` strings of a
-  bucket. Only the strings at both ends of a passage that stands in more than ``most`` contexts come as far as that.
+  a range share, then by narrower ranges, at last by single windows; ranges with equal bytes count as one string. So no task
+  holds more than ``most`` strings of a bucket, and a string is split into ranges a second time only where a passage in more
+  than ``most`` contexts ends. The ranges are shuffled as digests; only what is left to sort gets its bytes.
 
 ``passage`` asks for a second, shorter length: bytes in strings of that length which repeat are counted from the same order,
 beside the removal.
@@ -39,8 +40,10 @@ from docloom.llm.worker import lean
 LENGTH, GRAM, MOST = 400, 64, 512
 #: bytes of a repeated passage that the query reports; 50 words in European languages are about 250 to 350
 PASSAGE = 250
-#: windows that a large bucket's strings are split by at first
-WIDTH = 32
+#: numbers of windows that a large bucket's strings are split by, one after the other
+WIDTHS = (32, 6, 1)
+#: strings of a bucket that are compared as whole matrices
+MATRIX = 128
 #: window starts of a long text that are looked at together, and bytes of text in a bucket of the table of texts
 BLOCK, TABLE_BYTES = 1 << 20, 64 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
@@ -126,6 +129,14 @@ def extents(pieces: list[bytes], anchors: list[int], lengths: list[int], depth:
                 out[k] = x, y
         return out
     before, after = Prefixes(left), Prefixes(right, depth)
+    if n <= MATRIX:
+        x, y = (np.array([p.row(i) for i in range(n)]) for p in (before, after))
+        np.fill_diagonal(x, -1)
+        np.fill_diagonal(y, -1)
+        for k, length in enumerate(lengths):
+            ok = x + y >= length
+            out[k, :, 0], out[k, :, 1] = np.where(ok, x, 0).max(axis=1), np.where(ok, y, 0).max(axis=1)
+        return out
     for i in range(n):
         x, y = before.row(i), after.row(i)
         x[i] = y[i] = -1
@@ -163,6 +174,7 @@ def repeated_marks(texts: DataFrame, write: Scratch, lengths: list[int], gram: i
     found = write(texts.select("th", "text").mapInArrow(lean(cut), "grp long, around long, th binary, a int, right int"), "suffix-anchors")
     met = write(found.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp"), "suffix-met")
     shared = write(found.join(met, "grp", "left_semi"), "suffix-shared")
+    write.forget(found, met)
     classes = write(shared.groupBy("grp", "around").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("th", "a")).alias("p")).select("grp", "around", "n", "p.th", "p.a"), "suffix-strings")
 
     # equal strings: each of them repeats as far as it goes
@@ -170,6 +182,7 @@ def repeated_marks(texts: DataFrame, write: Scratch, lengths: list[int], gram: i
     kinds = F.filter(F.array(*[F.when(F.least(F.col("a"), F.lit(length)) + F.col("right") >= x, F.lit(k)) for k, x in enumerate(lengths)]), lambda k: k.isNotNull())
     reach = same.select("th", F.explode(kinds).alias("kind"), (F.col("a") - F.least(F.col("a"), F.lit(length))).alias("from"), (F.col("a") + F.col("right")).alias("to"))
     marks = [write(reach, "suffix-marks")]
+    write.forget(shared)
 
     # different strings of a bucket are sorted; their bytes come from their texts
     sizes = write(classes.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "suffix-buckets")
@@ -186,7 +199,9 @@ def repeated_marks(texts: DataFrame, write: Scratch, lengths: list[int], gram: i
                     rows = [(p["grp"], th, p["a"], p["n"], p["m"], min(p["a"], length), text[max(0, p["a"] - length) : p["a"] + length]) for p in places[k : k + 4096]]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    pieces = write(texts.select("th", "text").join(write(wanted, "suffix-wanted"), "th").select("th", "text", "places").mapInArrow(lean(attach), schema), "suffix-bytes")
+    wanted = write(wanted, "suffix-wanted")
+    pieces = write(texts.select("th", "text").join(wanted, "th").select("th", "text", "places").mapInArrow(lean(attach), schema), "suffix-bytes")
+    write.forget(classes, sizes, wanted)
 
     def sort(of: list[int]):
         """Sorts buckets and marks what repeats of ``lengths`` at the places ``of``; strings with a count are marked already."""
@@ -215,7 +230,7 @@ def repeated_marks(texts: DataFrame, write: Scratch, lengths: list[int], gram: i
         return _union(marks)
 
     def split(kind: int, width: int):
-        """One row for each range of windows: what they share is the bucket, all they cover the string."""
+        """One row for each range of windows: what all of them share is the bucket, all that they cover the string."""
         size = lengths[kind]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,28 +243,32 @@ def repeated_marks(texts: DataFrame, write: Scratch, lengths: list[int], gram: i
                         core, hull = piece[left - k * width : left - (k * width + width - 1) + size], piece[left - y : left - x + size]
                         key = hashlib.blake2b(core, digest_size=8, key=b"%d %d %d" % (grp, width, k)).digest()
                         dig = hashlib.blake2b(hull, digest_size=16, key=b"%d %d" % (x, y)).digest()
-                        rows.append((int.from_bytes(key, "little", signed=True), dig, th, a, n, y, hull if width > 1 else b"", a - y, a - x + size))
-                types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+                        rows.append((int.from_bytes(key, "little", signed=True), dig, th, a, n, x, y))
+                types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["grp", "hull", "th", "a", "n", "left", "piece", "from", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["grp", "hull", "th", "a", "n", "near", "far"])
 
         return lean(run)
 
-    for kind in range(len(lengths)):
+    large = large.select("grp", "th", "a", "n", "left", "piece")
+    for kind, size in enumerate(lengths):
         rest = large
-        for width in (WIDTH, 1):
-            schema = "grp long, hull binary, th binary, a int, n long, left int, piece binary, from int, to int"
-            rows = write(rest.select("grp", "th", "a", "n", "left", "piece").mapInArrow(split(kind, width), schema), f"suffix-split-{kind}-{width}")
-            hulls = write(rows.groupBy("grp", "hull").agg(F.sum("n").alias("n"), F.first(F.struct("th", "a", "left", "piece")).alias("p")).select("grp", "hull", "n", "p.*"), f"suffix-hulls-{kind}-{width}")
+        for width in WIDTHS:
+            name = f"{kind}-{width}"
+            rows = write(rest.mapInArrow(split(kind, width), "grp long, hull binary, th binary, a int, n long, near int, far int"), f"suffix-split-{name}")
+            hulls = write(rows.groupBy("grp", "hull").agg(F.sum("n").alias("n"), F.first(F.struct("th", "a", "near", "far")).alias("p")).select("grp", "hull", "n", "p.*"), f"suffix-hulls-{name}")
             whole = rows.where("n = 1").join(hulls.where("n > 1").select("grp", "hull"), ["grp", "hull"], "left_semi")
-            marks.append(write(whole.select("th", F.lit(kind).alias("kind"), "from", "to"), f"suffix-whole-{kind}-{width}"))
-            if width == 1:
-                break  # the window itself is the string: nothing is left to sort
-            m = write(hulls.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"suffix-ranges-{kind}")
-            left = write(hulls.drop("hull").join(m, "grp"), f"suffix-left-{kind}")
-            marks.append(sorted_marks(left, [kind]))
-            rest = left.where(F.col("m") > most)
-            if rest.isEmpty():
+            marks.append(write(whole.select("th", F.lit(kind).alias("kind"), (F.col("a") - F.col("far")).alias("from"), (F.col("a") - F.col("near") + size).alias("to")), f"suffix-whole-{name}"))
+            if width > 1:  # else the window itself is the string: nothing is left to sort
+                m = write(hulls.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("grp", "m"), f"suffix-ranges-{name}")
+                open_ = hulls.join(m, "grp").select("grp", "th", "a", "n", "m", "near", "far")
+                bytes_ = F.expr(f"substring(piece, left - far + 1, {size} + far - near)")
+                left = open_.join(large.select("th", "a", "left", "piece"), ["th", "a"]).select("grp", "th", "a", "n", "m", F.col("far").alias("left"), bytes_.alias("piece"))
+                left = write(left, f"suffix-left-{name}")
+                marks.append(sorted_marks(left, [kind]))
+                rest = left.where(F.col("m") > most).select("grp", "th", "a", "n", "left", "piece")
+            write.forget(rows, hulls)
+            if width == 1 or rest.isEmpty():
                 break
     return _union(marks)
 
