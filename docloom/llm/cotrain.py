@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.storage import Scratch
 from docloom.llm.wordhash import chunks, constants, mix, segment_hashes, string_buffers, word_hashes
+from docloom.llm.worker import lean
 
 MAX_LABELLED = 6000
 ROUNDS, GROWTH, SURE = 3, 0.1, 0.95
@@ -288,7 +289,7 @@ def _sums(df: DataFrame, one, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
     out = np.zeros(width)
-    for r in df.coalesce(SUMS).mapInArrow(run, "s binary").collect():
+    for r in df.coalesce(SUMS).mapInArrow(lean(run), "s binary").collect():
         out += np.frombuffer(bytes(r.s), np.float64)
     return out
 
@@ -338,7 +339,7 @@ def give_labels(free: DataFrame, targets: list[Target], growth: float, sure: flo
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.int8())) for x in had]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], names=b.schema.names)
 
-    return free.mapInArrow(give, UNLABELLED), int(got[-1])
+    return free.mapInArrow(lean(give), UNLABELLED), int(got[-1])
 
 
 def fit_text(free: DataFrame, known: list[Known], start: list[Logistic]) -> tuple[list[Logistic], list[int]]:
@@ -506,7 +507,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 t, m = text_features(b.column("ct_text")), meta_features([b.column(c) for c in names], b.num_rows)
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], packed(t), packed(m)], names=[*kept, "text", "meta"])
 
-        return run
+        return lean(run)
 
     own = "ct_q double, ct_t double, ct_w double, ct_o int, text binary, meta binary"
     got = with_labels.select("ct_q", "ct_t", "ct_w", *cols).mapInArrow(features(["ct_q", "ct_t", "ct_w", "ct_o"]), own).toPandas()
@@ -543,7 +544,7 @@ def score(docs: DataFrame, model: Classifier, text_col: str = "text", tag: str =
             t, meta = text_features(b.column(place)), meta_features([b.column(i) for i in at], b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.quality.score(t, meta)), pa.array(m.toxic.score(t, meta))], names=[*had, *extra.names])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lean(run), out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, tag: str = "ct", **kw) -> DataFrame:

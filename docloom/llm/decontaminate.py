@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.storage import materialise
 from docloom.llm.wordhash import chunks, kgrams, string_buffers, word_hashes, words_of
+from docloom.llm.worker import lean
 
 WINDOW, K = 10, 5
 BLOCK_BYTES = 32 << 20
@@ -177,7 +178,7 @@ def _append(docs: DataFrame, fn, names: list[str], types: list[pa.DataType], sch
             cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[] for _ in types], types, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*had, *names])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lean(run), out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES, tag: str = "bm") -> DataFrame:

@@ -5,7 +5,7 @@ shingles, the smallest under the run's hash, and goes to that shingle's bucket:
 probability s. Buckets of up to ``small`` sets are compared by brute force. Larger ones are split again in the same way,
 with fresh hashes, up to ``LEVELS`` times. A bucket that a split leaves together is a group of near copies: it is compared
 in blocks, so that no task holds more than two blocks. At every level runs repeat until the chance to miss a pair at the
-threshold is below 1 - ``recall``.
+threshold is below 1 - ``recall`` over all levels together.
 
 A pair is counted only on the path of the first runs in which its sets agree, so links are sums and no pair is written out.
 Texts with equal sets form a class, compared once. Tasks emit sums for each class and the edges of a spanning forest.
@@ -28,8 +28,9 @@ from docloom.llm.components import components
 from docloom.llm.grouping import sorted_groups
 from docloom.llm.storage import Scratch, materialise
 from docloom.llm.wordhash import chunks, constants, kgrams, mix, string_buffers, word_hashes
+from docloom.llm.worker import lean
 
-SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
+SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99998
 SMALL = 1024
 LEVELS = 4
 #: share of a bucket that stays together in a split, from which on it counts as a group of near copies
@@ -37,8 +38,9 @@ DENSE = 0.25
 COLUMNS, STRIP = 1024, 128
 
 
-def runs_for(recall: float, threshold: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+def runs_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
+    """Runs of a level: each level may miss its share of what is allowed in all."""
+    return max(1, math.ceil(math.log((1 - recall) / levels) / math.log(1 - threshold)))
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -64,9 +66,12 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[np.ndarray
         yield value, np.searchsorted(owner, np.arange(j - i + 1))
 
 
-def signatures(texts: pa.Array, n_runs: int, k: int = SHINGLE) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Set digest (16 bytes), set size, and the chosen shingle of each run as (texts, runs) 64-bit values."""
-    salt = constants(n_runs + 2, seed=3)
+def signatures(texts: pa.Array, n_runs: int, k: int = SHINGLE, of_runs: int | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Set digest (16 bytes), set size, and the chosen shingle of each run as (texts, runs) 64-bit values.
+
+    The digest depends on how many runs there are in all, ``of_runs``."""
+    of_runs = n_runs if of_runs is None else of_runs
+    salt = constants(of_runs + 2, seed=3)
     digests, sizes, sigs = [], [], []
     for value, at in shingle_sets(texts, k):
         n = np.diff(at)
@@ -77,7 +82,7 @@ def signatures(texts: pa.Array, n_runs: int, k: int = SHINGLE) -> tuple[list[byt
             for r in range(n_runs):
                 sig[full, r] = np.minimum.reduceat(mix(value ^ salt[r]), at[full])
             for r in range(2):
-                dig[full, r] = np.add.reduceat(mix(value + salt[n_runs + r]), at[full])
+                dig[full, r] = np.add.reduceat(mix(value + salt[of_runs + r]), at[full])
         digests += [d.tobytes() for d in dig]
         sizes.append(n)
         sigs.append(sig)
@@ -151,6 +156,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     write = Scratch(docs.sparkSession)
     R = runs_for(recall, threshold)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    # one row stands for its class; copies of a text differ in this hash, so they spread when texts are joined by it
+    src = src.withColumn("row", F.xxhash64("text_hash", "doc_id"))
     kind = src.schema["doc_id"].dataType.simpleString()
     names = [f"s{r}" for r in range(LEVELS * R)]
 
@@ -158,11 +165,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             dig, n, sig = signatures(b.column("text"), LEVELS * R, shingle)
             cols = [pa.array(np.ascontiguousarray(sig[:, r]).view(np.int64)) for r in range(LEVELS * R)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(dig, pa.binary()), pa.array(n.astype(np.int64)), *cols], names=["doc_id", "text_hash", "cid", "n", *names])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("row"), pa.array(dig, pa.binary()), pa.array(n.astype(np.int64)), *cols], names=["doc_id", "text_hash", "row", "cid", "n", *names])
 
-    signed = materialise(src.mapInArrow(sign, f"doc_id {kind}, text_hash long, cid binary, n long, " + ", ".join(f"{s} long" for s in names)), "join-signatures")
+    signed = materialise(src.mapInArrow(lean(sign), f"doc_id {kind}, text_hash long, row long, cid binary, n long, " + ", ".join(f"{s} long" for s in names)), "join-signatures")
     classes = write(
-        signed.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("weight"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in names]), "join-classes"
+        signed.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("weight"), F.min("row").alias("row"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in names]), "join-classes"
     )
 
     # A node is a bucket of a path of (run, shingle) choices; rows stay thin until buckets with a single class are gone.
@@ -190,7 +197,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = ready[0]
     for more in ready[1:]:
         rows = rows.unionByName(more)
-    facts = classes.select("cid", "weight", "n", "text_hash", F.array(*names).alias("sig"))
+    facts = classes.select("cid", "weight", "n", "row", F.array(*names).alias("sig"))
     rows = write(rows.join(facts, "cid"), "join-rows")
 
     # which members of a small bucket can have a partner there: another set of fitting size that first agrees on this path
@@ -212,23 +219,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from table.filter(pa.array(keep)).to_batches()
 
     # a bucket's members meet in one task, in key order
-    few = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(useful, rows.schema).withColumn("blocks", F.lit(1)).withColumn("mine", F.lit(0)).withColumn("other", F.lit(0))
+    few = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(useful), rows.schema).withColumn("blocks", F.lit(1)).withColumn("mine", F.lit(0)).withColumn("other", F.lit(0))
     # still large: every block of members meets every block
     many = rows.where(F.col("m") > small).withColumn("blocks", F.ceil(F.col("m") / small).cast("int"))
     many = many.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = write(few.unionByName(many).withColumn("pair", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))), "join-work")
 
     # the sets of classes that are needed, from one of their texts
-    wanted = write(work.groupBy("text_hash").agg(F.first("cid").alias("cid")), "join-wanted")
-    texts = src.select("text_hash", "text").join(wanted.hint("shuffle_hash"), "text_hash")
+    wanted = write(work.select("row", "cid").distinct(), "join-wanted")
+    texts = src.select("row", "text").join(wanted.hint("shuffle_hash"), "row")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [v[p:q].tobytes() for v, at in shingle_sets(b.column("text"), shingle) for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(out, pa.binary())], names=["cid", "shingles"])
+            # two rows may share a 64-bit hash: a text counts for the class whose digest it has
+            digests, _, _ = signatures(b.column("text"), 0, shingle, LEVELS * R)
+            mine = pa.array([d == c for d, c in zip(digests, b.column("cid").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(out, pa.binary())], names=["cid", "shingles"]).filter(mine)
 
-    # copies of a text give its set more than once; the first is kept
-    known = write(texts.mapInArrow(sets, "cid binary, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles")), "join-sets")
+    # rows that repeat whole give a set more than once; the first is kept
+    known = write(texts.mapInArrow(lean(sets), "cid binary, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles")), "join-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in sorted_groups(batches, "pair"):
@@ -257,7 +267,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # one row a member and task, the set beside it
     ready = work.select("pair", "path", "cid", "weight", "sig", "mine", "other").join(known, "cid").repartition("pair").sortWithinPartitions("pair")
-    found = write(ready.mapInArrow(compare, "a binary, b binary, links long"), "join-found")
+    found = write(ready.mapInArrow(lean(compare), "a binary, b binary, links long"), "join-found")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"), write)
     out = classes.select("cid", "weight").join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")

@@ -80,3 +80,31 @@ def test_components(spark):
         root[q] = p
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges for x in e if find(x) != x}
+
+
+def test_recall_on_many_near_copies(spark):
+    """1,000 groups of near copies around the threshold: links and classes equal those of all pairs of a group."""
+    rng = random.Random(11)
+    docs, groups = [], []
+    for g in range(1000):
+        base = [f"w{rng.randint(0, 30_000)}" for _ in range(rng.randint(12, 90))]
+        group = [base]
+        for _ in range(2):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 30_000)}"
+            group.append(w)
+        groups.append(range(len(docs), len(docs) + 3))
+        docs += group
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    links, want = [0] * len(docs), 0
+    for ids in groups:
+        for i in ids:
+            for j in ids:
+                if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                    links[i] += 1
+                    want += 1
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_links for r in jaccard_join.report(d).collect()}
+    assert want > 2000 and all(got[i] <= links[i] for i in got)
+    assert sum(got.values()) / want > 0.999

@@ -55,3 +55,26 @@ def test_sql_and_empty(spark, sf_dir):
     zero = documents(spark).withColumn("text", F.lit(None).cast("string"))
     assert all(r["size"] == 0 and r.taken == 0 and r.target == 0 for r in mixing.report(zero).collect())
     assert rows_of(mixing.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))) == rows_of_sql(connect(sf_dir), mixing.SQL)
+
+
+def test_key_buckets_are_even(spark, monkeypatch):
+    """Low weights do not pile up in a source's last buckets."""
+    from pyspark.sql import functions as F
+
+    n, quality = 60_000, F.when(F.col("doc_id") % 3 == 0, 0.1).otherwise(0.5 + F.col("doc_id") % 7 / 20)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("mix_size")).withColumn("mix_quality", quality)
+    docs = docs.withColumn("mix_key", -F.log(mixing.uniform_of(F.col("doc_id"))) / F.col("mix_quality"))
+    monkeypatch.setattr(mixing, "BUCKETS", 100)
+    plan_rows = mixing.targets(mixing.counted(docs, "source")).first()
+    below = sum(r.n * (1 - F.exp(-r.rate * F.col("mix_key"))) for r in plan_rows.mix_rates) / plan_rows.mix_rows
+    place = F.least(F.lit(plan_rows.mix_buckets - 1), F.floor(below * plan_rows.mix_buckets))
+    seen = {r.b: r["count"] for r in docs.groupBy(place.alias("b")).count().collect()}
+    assert max(seen.values()) < 2 * n / plan_rows.mix_buckets and len(seen) == plan_rows.mix_buckets
+
+
+def test_documents_without_a_text_shuffle(spark):
+    d = documents(spark).dropDuplicates(["doc_id", "text"])
+    got = Counter((r.doc_id, r.text, r.mix_copies) for r in mixing.mix_documents(d).select("doc_id", "text", "mix_copies").collect())
+    assert got == Counter((r.doc_id, r.text, r.mix_copies) for r in mixing.mix(mixing.sized(d)).select("doc_id", "text", "mix_copies").collect())
+    assert mixing.mix_documents(empty(spark)).count() == 0
+    assert mixing.mix_documents(documents(spark)).columns[: len(d.columns)] == d.columns
