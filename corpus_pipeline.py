@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
 ``documents``; the last writes the token store and returns what it reads back from it.
+
+Defined results: null texts are scored by their metadata, link to nothing, are never contaminated, cost the mix nothing and
+have only an end id; null ids are ids like any other. Of rows that repeat whole one stays, and so does the one of the
+smallest id of each group of near copies; wordless rows all stay. Documents without words come into the mix once an epoch,
+and with the sample while it has room. Empty tables give empty results. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that the mix takes twice is there twice."""
 
     def mixed(d: DataFrame) -> DataFrame:
-        taken = mixing.mix(mixing.sized(d)).where("mix_copies > 0")
+        taken = mixing.mix_documents(d).where("mix_copies > 0")
         return taken.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
 
     return _guarded(docs, mixed)
@@ -63,7 +68,7 @@ STAGES = [
     ("token-ID / binary output", write_tokens),
 ]
 
-#: trained models and a tokenizer can't be written in SQL; tests/llm/test_pipeline.py holds the rows against brute force
+#: trained models and a tokenizer can't be written in SQL; tests/llm/test_pipeline_brute.py holds the rows against brute force
 ORACLE_SQL = None
 
 
