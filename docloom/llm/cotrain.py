@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +48,9 @@ WIDTH = (1 << WORD_BITS) + STAT_BINS * N_STATS
 META_WIDTH = 1 << 12
 LEAST_ROWS, LEAST_Z = 10, 3.0
 L2 = 1e-4
-#: L-BFGS steps of a round, the pairs they keep, and the tasks whose sums go to the driver
-STEPS, PAIRS, SUMS = 8, 8, 64
+#: L-BFGS steps of a round and the pairs they keep; tasks of a pass, and tasks that add up their sums
+STEPS, PAIRS = 8, 8
+TASKS, SUMS = 1024, 8
 #: how sure a view is beyond ``sure``: bins of the calibrated margin, BIN to a unit
 BINS, BIN = 4096, 128
 #: bin edges of the shares, denser near 0
@@ -279,18 +281,29 @@ def _labels(col: pa.Array, n: int) -> np.ndarray:
 
 
 def _sums(df: DataFrame, one, width: int) -> np.ndarray:
-    """The sum of ``one(batch)`` over all batches, ``width`` numbers, in the order of the partitions."""
+    """The sum of ``one(batch)`` over all batches, ``width`` numbers, in the order of the partitions. Tasks' sums are added up by
+    SUMS tasks before they go to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for b in batches:
             if b.num_rows:
                 total += one(b)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["p", "s"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, p = np.zeros(width), None
+        for b in batches:
+            for at, x in zip(b.column("p").to_pylist(), b.column("s"), strict=True):
+                total += np.frombuffer(x.as_buffer(), np.float64)
+                p = at if p is None else p
+        if p is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["p", "s"])
 
     out = np.zeros(width)
-    for r in df.coalesce(SUMS).mapInArrow(lean(run), "s binary").collect():
-        out += np.frombuffer(bytes(r.s), np.float64)
+    parts = df.coalesce(TASKS).mapInArrow(lean(run), "p int, s binary").repartition(SUMS, F.floor(F.col("p") / (TASKS // SUMS))).sortWithinPartitions("p").mapInArrow(add, "p int, s binary")
+    for _, x in sorted((r.p, r.s) for r in parts.collect()):  # SUMS rows
+        out += np.frombuffer(x, np.float64)
     return out
 
 
