@@ -108,16 +108,19 @@ class VersionedIndex:
         out = self._fs.create(temporary, True)
         out.write(bytearray(version.encode()))
         out.close()
-        pointer = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        if not self._fs.rename(temporary, pointer):
-            raise OSError(f"{pointer} could not be written")
+        # one step: readers find the old pointer or the new one
+        jvm = self.spark._jvm
+        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(temporary, self._path(f"{self.root}/CURRENT"), overwrite)
         return version
 
     def vacuum(self) -> int:
         """Removes versions that the pointer does not name; returns how many."""
         current, n = self.version(), 0
+        if current is None:
+            return 0  # without a pointer nothing tells which version is in use
         for f in self._fs.listStatus(self._path(self.root)):
             if f.getPath().getName().startswith("v-") and f.getPath().getName() != current:
                 self._fs.delete(f.getPath(), True)

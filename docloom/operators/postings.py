@@ -26,14 +26,27 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(v <= 0, F.lit(IDF_FLOOR)).otherwise(v)
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, keys: list[str], query_id: str = "query_id", query_text: str = "query", index: DataFrame | None = None) -> DataFrame:
-    """query_id, keys, score (rounded to 6 places, so that order does not hang on summation order)."""
-    index = postings(chunks, keys) if index is None else index
+def chunk_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """One row: n, the number of chunks, and avgdl, their average length."""
+    return chunks.select(F.size(T.bm25_tokens(content)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame, keys: list[str], query_id: str = "query_id", query_text: str = "query", index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """query_id, keys, score (rounded to 6 places, so that order does not hang on summation order).
+
+    ``index`` and ``stats`` are stored postings and chunk statistics. Without an index, only the queries' terms are counted.
+    Hot terms: postings are joined and summed with partial sums, and skewed joins are left to AQE.
+    """
     terms = queries.select(query_id, F.explode(T.query_tokens(query_text)).alias("term"))
-    stats = chunks.select(F.size(T.bm25_tokens("content")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = index.join(terms, "term")
-    df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    distinct = terms.select("term").distinct()
+    if index is None:
+        tokens = chunks.select(*keys, T.bm25_tokens("content").alias("tokens")).select(*keys, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        index = tokens.join(distinct, "term", "left_semi").groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        index = index.join(distinct, "term", "left_semi")
+    stats = chunk_stats(chunks) if stats is None else stats
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    scored = index.join(terms.join(df, "term"), "term").crossJoin(F.broadcast(stats))  # one row of statistics
     tf = F.col("tf").cast("double")
     part = idf(F.col("n").cast("double"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.groupBy(query_id, *keys).agg(F.round(F.sum(part), 6).alias("score"))
@@ -45,9 +58,15 @@ def ranked(scores: DataFrame, k: int, keys: list[str], query_id: str = "query_id
     return scores.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame, keys: list[str], query_id: str = "query_id", query_text: str = "query") -> DataFrame:
-    """Set-overlap scores by a join on terms: query_id, keys, shared, n_query, n_text, score."""
-    text = chunks.select(*keys, T.lexical_terms("content").alias("terms")).select(*keys, F.size("terms").alias("n_text"), F.explode("terms").alias("term"))
+def lexical_postings(chunks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """keys, n_text (distinct terms of the chunk), term."""
+    terms = chunks.select(*keys, T.lexical_terms(content).alias("terms"))
+    return terms.select(*keys, F.size("terms").alias("n_text"), F.explode("terms").alias("term"))
+
+
+def lexical_scores(queries: DataFrame, chunks: DataFrame, keys: list[str], query_id: str = "query_id", query_text: str = "query", index: DataFrame | None = None) -> DataFrame:
+    """Set-overlap scores by a join on terms: query_id, keys, shared, n_query, n_text, score. ``index``: stored lexical postings."""
+    text = lexical_postings(chunks, keys) if index is None else index
     query = queries.select(query_id, T.lexical_terms(query_text).alias("terms")).select(query_id, F.size("terms").alias("n_query"), F.explode("terms").alias("term"))
     shared = text.join(query, "term").groupBy(query_id, *keys, "n_query", "n_text").agg(F.count(F.lit(1)).alias("shared"))
     return shared.withColumn("score", F.round(T.lexical_score_of(F.col("shared"), F.col("n_query"), F.col("n_text")), 6))

@@ -15,6 +15,7 @@ from docloom.functions import numbers, signals
 from docloom.functions import text as T
 from docloom.operators import chunking, compute, context, conversations, dense, evaluate, index, planner, postings, ranking, tables
 from docloom.plans import sql as S
+from docloom.plans.stored import spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,7 +42,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.document_chunks(table(spark, sf_dir, "documents").where(F.length("text") > 0), ["doc_id", "source"])
+    return chunking.document_chunks(spread(table(spark, sf_dir, "documents")).where(F.length("text") > 0), ["doc_id", "source"])
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +50,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return postings.ranked(postings.bm25_scores(questions(spark, sf_dir), chunks(spark, sf_dir), KEYS), k, KEYS)
+    """The k best chunks of each question, from the stored index."""
+    files, c = f"{sf_dir}/documents.parquet", chunks(spark, sf_dir)
+    index = stored(spark, files, "postings", lambda: postings.postings(c, KEYS))
+    stats = stored(spark, files, "chunk-stats", lambda: postings.chunk_stats(c))
+    return postings.ranked(postings.bm25_scores(questions(spark, sf_dir), c, KEYS, index=index, stats=stats), k, KEYS)
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.lexical_scores(questions(spark, sf_dir), chunks(spark, sf_dir), KEYS)
+    c = chunks(spark, sf_dir)
+    index = stored(spark, f"{sf_dir}/documents.parquet", "lexical", lambda: postings.lexical_postings(c, KEYS))
+    return postings.lexical_scores(questions(spark, sf_dir), c, KEYS, index=index)
 
 
 # --- chunks, ids, tokens ---
@@ -148,7 +155,7 @@ def lexical_candidates_floor(spark, sf_dir):
 
 @binding(f"SELECT doc_id, round({S.noise('text')}, 6) AS penalty FROM documents")
 def noise_penalty(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(signals.noise_penalty("text"), 6).alias("penalty"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.round(signals.noise_penalty("text"), 6).alias("penalty"))
 
 
 QUESTIONS = ("how long is the deadline", "how many items", "how to follow the workflow steps", "give me an overview or summary", "plain words", "多久可以申请")
@@ -177,7 +184,7 @@ def _vector_sql(expr: str) -> str:
     dot = "list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i]::DOUBLE * b[i]::DOUBLE))"
     norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
     score = expr.format(dot=dot, na=norm("a"), nb=norm("b"))
-    return f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, q.embedding AS a, e.embedding AS b FROM embeddings q, embeddings e WHERE q.vec_id < 20),
+    return f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, q.embedding AS a, e.embedding AS b FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
 s AS (SELECT query_id, id, round({score}, 6) + 0.0 AS score FROM p)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
 
@@ -337,7 +344,7 @@ def _plan_sql() -> str:
     hit = " OR ".join(f"(length({compact(n)}) >= 2 AND (contains(q, {S.fold(n)}) OR contains({compact('q')}, {compact(n)})))" for n in names)
     return f"""WITH d AS (
   SELECT doc_id || ext AS filename, source || '/' || doc_id || ext AS source_path, ext AS suffix, doc_id::VARCHAR AS stem, doc_id::VARCHAR AS path_stem
-  FROM (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.csv' ELSE '.txt' END AS ext FROM documents WHERE doc_id < 40)),
+  FROM (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.csv' ELSE '.txt' END AS ext FROM documents)),
 q AS (SELECT query_id, {S.fold(S.strip('query'))} AS q FROM (VALUES {values}) AS v(query_id, query)),
 f AS (SELECT *, list_sort(list_filter([{types}], lambda x: x IS NOT NULL)) AS types,
   {S.has_any('q', M.SUMMARY_WANTED)} AS sums, {S.has_any('q', M.COUNT_FILES)} AS counts, {S.has_any('q', M.LIST_FILES)} AS lists, {S.has_any('q', M.FILE_WORDS)} AS files,
