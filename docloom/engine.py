@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from docloom.functions import signals
 from docloom.functions import text as T
-from docloom.operators import chunking, compute, context, index, models, planner, postings, ranking
+from docloom.operators import chunking, compute, context, index, models, planner, postings, ranking, selection
 
 KEYS = ["document_id", "chunk_index"]
 
 
 class Engine:
-    """``root`` holds the versioned tables documents, nodes, parents, chunks and postings."""
+    """``root`` holds the versioned tables documents, nodes, parents, chunks, postings and stats."""
 
     def __init__(self, spark: SparkSession, root: str, chunk_size: int = chunking.CHUNK, overlap: int = chunking.OVERLAP):
         self.spark, self.store, self.size, self.overlap = spark, index.VersionedIndex(spark, root), chunk_size, overlap
@@ -25,8 +25,10 @@ class Engine:
         docs = docs.select(T.source_path("source_path").alias("source_path"), T.text_of("text").alias("text")).withColumn("sha256", F.sha2("text", 256))
         docs = docs.withColumn("filename", F.element_at(F.split("source_path", "/"), -1)).withColumn("document_id", T.document_id("source_path"))
         nodes = chunking.documents_to_nodes(docs)
-        chunks = chunking.nodes_to_chunks(nodes, self.size, self.overlap)
-        return self.store.commit({"documents": docs, "nodes": nodes, "parents": chunking.parents(nodes), "chunks": chunks, "postings": postings.postings(chunks, KEYS)})
+        chunks = chunking.nodes_to_chunks(nodes, self.size, self.overlap).withColumn("node_type", F.lit("text"))
+        none = F.lit(None).cast("string")
+        chunks = chunks.withColumn("search_text", chunking.search_text(F.col("filename"), none, none, none, F.lit(None).cast("array<string>"), F.col("content")))
+        return self.store.commit({"documents": docs, "nodes": nodes, "parents": chunking.parents(nodes), "chunks": chunks, "postings": postings.postings(chunks, KEYS, "search_text"), "stats": postings.chunk_stats(chunks, "search_text")})
 
     def sync(self, docs: DataFrame, remove_missing: bool = True) -> DataFrame:
         """Brings the index up to ``docs``; returns what was done for each path. Unchanged documents keep their text."""
@@ -54,13 +56,23 @@ class Engine:
     def plan(self, queries: DataFrame) -> DataFrame:
         return planner.plan_queries(queries, self.documents())
 
-    def search(self, queries: DataFrame, k: int = 5, diverse: bool = False, vectors: DataFrame | None = None, reranker: models.Scorer | None = None, rules: bool = False) -> DataFrame:
-        """query_id, chunk keys, content, score and rank. ``vectors`` is a dense ranking (query_id, keys, rank) to fuse with."""
+    def search(self, queries: DataFrame, k: int = 5, diverse: bool = False, vectors: DataFrame | None = None, reranker: models.Scorer | None = None, rules: bool = False, source_paths: tuple[str, ...] = (), node_types: tuple[str, ...] = (), fallback: bool = False) -> DataFrame:
+        """query_id, chunk keys, content, score and rank. ``vectors`` is a dense ranking (query_id, keys, rank) to fuse with.
+
+        Only chunks of ``source_paths`` and ``node_types`` are ranked, if given; the statistics stay those of the whole index.
+        With ``fallback``, a query without a hit gets the first k chunks.
+        """
         if not 1 <= k <= 20:
             raise ValueError("k must be from 1 to 20")
-        chunks = self.store.read("chunks")
+        chunks = selection.chunk_filter(self.store.read("chunks"), source_paths, node_types)
         wide = max(3 * k, 15) if diverse else max(2 * k, 10) if reranker or rules else k
-        first = postings.ranked(postings.bm25_scores(queries, chunks, KEYS, index=self.store.read("postings")), max(4 * wide, 20), KEYS).drop("rank")
+        scores = postings.bm25_scores(queries, chunks, KEYS, index=self.store.read("postings"), stats=self.store.read("stats"))
+        if source_paths or node_types:
+            scores = scores.join(chunks.select(*KEYS), KEYS, "left_semi")
+        first = postings.ranked(scores, max(4 * wide, 20), KEYS)
+        if fallback:
+            first = selection.first_results(queries, first, chunks, k, KEYS)
+        first = first.drop("rank")
         hits = first.join(chunks.select(*KEYS, "content", "filename", "source_path", "parent_id"), KEYS).join(queries.select("query_id", "query"), "query_id")
         bonus = signals.rerank_score("query", "content", F.col("score")) if rules else F.col("score") + signals.intent_bonus("query", "content") - signals.noise_penalty("content")
         hits = postings.ranked(hits.withColumn("score", F.round(bonus, 6)), wide, KEYS)

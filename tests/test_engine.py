@@ -52,3 +52,27 @@ def test_recursive_split(spark):
     got = spark.createDataFrame([(text,)], "t string").select(chunking.recursive_split("t", 80, 10)).first()[0]
     assert all(0 < len(p) <= 80 for p in got) and set("".join(text.split())) == set("".join("".join(got).split()))
     assert spark.createDataFrame([(None,)], "t string").select(F.size(chunking.recursive_split("t"))).first()[0] == 0
+
+
+def test_search_filters_and_fallback(spark, tmp_path):
+    from docloom.engine import Engine
+
+    e = Engine(spark, f"file://{tmp_path}/filtered")
+    e.build(spark.createDataFrame([("a/travel.txt", "expense report within thirty days"), ("b/leave.txt", "annual leave of ten days")], "source_path string, text string"))
+    q = spark.createDataFrame([(1, "days"), (2, "zzz"), (3, "leave.txt")], "query_id int, query string")
+    hits = lambda **kw: {(r.query_id, r.filename) for r in e.search(q, 2, **kw).collect()}
+    assert {(1, "travel.txt"), (1, "leave.txt"), (3, "leave.txt")} <= hits() and not any(q == 2 for q, _ in hits())
+    assert {f for _, f in hits(source_paths=("A/TRAVEL.txt",))} == {"travel.txt"}
+    assert hits(node_types=("table",)) == set()
+    assert (2, "travel.txt") in hits(fallback=True) and (2, "leave.txt") in hits(fallback=True)
+
+
+def test_vacuum_needs_a_pointer(spark, tmp_path):
+    from docloom.operators.index import VersionedIndex
+
+    v = VersionedIndex(spark, f"file://{tmp_path}/versions")
+    one = v.commit({"t": spark.range(1)})
+    two = v.commit({"t": spark.range(2)})
+    assert v.version() == two != one and v.vacuum() == 1 and v.read("t").count() == 2
+    v._fs.delete(v._path(f"{v.root}/CURRENT"), False)
+    assert v.vacuum() == 0
