@@ -178,12 +178,19 @@ def group_extreme(x: DataFrame, c: Computation) -> DataFrame:
     return best.select(F.lit(f"arg{c.extreme}").alias("operator"), value.alias("value"), "n_rows", "group", F.col("p.source_path").alias("source_path"), F.col("p.row_number").alias("row_number"), answer.alias("answer"))
 
 
-def matches(x: DataFrame, c: Computation, name: str | None = None, cap: int = RESULT_ROWS) -> DataFrame:
-    """Rows that meet the condition, with the text the answer lists; the report shows ``cap`` of them."""
+def matches(x: DataFrame, c: Computation, name: str | None = None) -> DataFrame:
+    """Rows that meet the condition, with the text the answer lists."""
     shown = F.coalesce(F.nullif(cell(name or c.group_by or (c.columns[0] if c.columns else "")), F.lit("")), F.concat(F.lit("第"), F.col("row_number").cast("string"), F.lit("行")))
     return x.select("source_path", "sheet", "row_number", F.concat(shown, F.lit("（"), cell(c.column), F.lit("）")).alias("item"))
 
 
+def listing(matched: DataFrame, cap: int = RESULT_ROWS) -> DataFrame:
+    """One row: how many rows matched, and the first ``cap`` of them in one text."""
+    first = matched.orderBy("source_path", "sheet", "row_number").limit(cap)
+    shown = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_path", "sheet", "row_number", "item"))), lambda r: r["item"]), "、").alias("items"))
+    return matched.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(shown)  # one row each
+
+
 def across_files(c: Computation, paths: tuple[str, ...]) -> Computation:
     return replace(c, source_paths=paths)
 

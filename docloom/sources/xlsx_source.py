@@ -42,8 +42,10 @@ def kind_of(code: str) -> str:
 
 
 def decimals(code: str) -> int | None:
-    m = re.search(r"\.(0+)", code)
-    return len(m[1]) if m else (0 if re.search(r"0", code) else None)
+    """Decimal places of a format's first section, optional ones included."""
+    first = code.split(";")[0]
+    m = re.search(r"\.([0#]+)", first)
+    return len(m[1]) if m else (0 if "0" in first else None)
 
 
 def rendered(value: float, code: str) -> tuple[str, str]:

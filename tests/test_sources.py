@@ -82,3 +82,16 @@ def test_streams(spark, tmp_path, sf_dir):
     from docloom.operators.index import VersionedIndex
 
     assert {(r.source_path, r.text) for r in VersionedIndex(spark, str(tmp_path / "ix")).read("documents").collect()} == {("a", "2"), ("b", "1")}
+
+
+def test_csv_long_fields_and_line_breaks(spark, tmp_path):
+    long = "x" * 1_500_000
+    (tmp_path / "a.csv").write_text(f'a,b\n1,"{long}"\n\n2,"two\nlines, ""quoted"""\n3,\x01\n')
+    rows, rejects = csv_source.csv_rows(files.scan_directory(spark, str(tmp_path)))
+    got = {r.row_number: r["values"] for r in rows.collect()}
+    assert got == {2: ["1", long], 4: ["2", 'two\nlines, "quoted"'], 6: ["3", "\x01"]} and rejects.count() == 0
+
+
+def test_optional_decimals():
+    assert xlsx_source.rendered(1.25, "0.0#") == ("1.25", "number") and xlsx_source.rendered(1.256, "0.##") == ("1.26", "number")
+    assert xlsx_source.decimals("0;0.000") == 0
