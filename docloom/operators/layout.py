@@ -127,17 +127,21 @@ def overlap_ratio(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 def continued_tables(tables: DataFrame) -> DataFrame:
     """Adds table_group: a table that starts at the top of the next page goes on with the one that ended at the bottom.
 
-    ``tables`` has doc, page, x0, y0, x1, y1, page_height, n_columns, headers (array), numeric_ratio.
+    ``tables`` has doc, page, x0, y0, x1, y1, page_height, n_columns, caption, headers (array), numeric_ratio. A table with a
+    caption of its own never goes on. ``data_only`` says that the part has rows but no headers: numbers in its first row, or
+    fewer than two headers of the table before.
     """
     w = Window.partitionBy("doc").orderBy("page", "y0")
     prev = lambda c: F.lag(c).over(w)
-    shared = F.size(F.array_intersect("headers", prev("headers")))
+    names = lambda h: F.transform(h, lambda v: F.regexp_replace(T.fold(v), r"\s+", ""))
+    shared = F.size(F.filter(F.array_intersect(names(F.col("headers")), names(prev("headers"))), lambda v: F.length(v) > 0))
     width = F.abs((F.col("x1") - F.col("x0")) - (prev("x1") - prev("x0")))
     joins = (
-        (F.col("page") == prev("page") + 1) & (prev("y1") >= 0.72 * prev("page_height")) & (F.col("y0") <= 0.22 * F.col("page_height")) & (F.col("n_columns") == prev("n_columns"))
-        & (width <= F.greatest(F.lit(30.0), 0.15 * (prev("x1") - prev("x0")))) & ((shared >= 2) | (F.col("numeric_ratio") >= 0.45))
+        (F.col("page") == prev("page") + 1) & (prev("y1") >= 0.72 * prev("page_height")) & (F.length(T.strip("caption")) == 0) & (F.col("y0") <= 0.22 * F.col("page_height"))
+        & (F.col("n_columns") == prev("n_columns")) & (width < F.greatest(F.lit(30.0), 0.15 * (prev("x1") - prev("x0"))))
     )
-    x = tables.withColumn("joins", F.coalesce(joins, F.lit(False)))
+    data_only = (F.coalesce("numeric_ratio", F.lit(0.0)) >= 0.45) | (F.coalesce(shared, F.lit(0)) < 2)
+    x = tables.withColumn("joins", F.coalesce(joins, F.lit(False))).withColumn("data_only", F.col("joins") & data_only)
     return x.withColumn("table_group", F.sum((~F.col("joins")).cast("int")).over(w)).drop("joins")
 
 

@@ -564,7 +564,7 @@ def conversation_retention(spark, sf_dir):
     return conversations.expire(c, m, cutoff)[1].select("conv_id", "turn")
 
 
-@binding()
+@binding("SELECT conv_id, to_json({'conv_id': conv_id, 'messages': list({'turn': turn, 'role': role, 'text': text} ORDER BY turn)})::VARCHAR AS json FROM conversations GROUP BY conv_id")
 def conversation_export(spark, sf_dir):
     return conversations.export(table(spark, sf_dir, "conversations"))
 
@@ -592,7 +592,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(F.broadcast(b), F.contains(F.col("text"), F.col("passage"))).select("query_id", "doc_id")
 
 
-_TRUTH = "truth AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON length(b.text) >= 60 AND contains(d.text, left(b.text, 60)))"
+_TRUTH = "truth AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text))"
 
 
 @binding(f"""WITH {S.BM25}, {_TRUTH}, r AS ({S.top('bm', 5)}), c AS (SELECT t.query_id, h.hit_rank FROM (SELECT DISTINCT query_id FROM truth) t LEFT JOIN (SELECT query_id, min(rank) AS hit_rank FROM r WHERE (query_id, doc_id) IN (SELECT query_id, doc_id FROM truth) GROUP BY query_id) h USING (query_id))

@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 from oracle import connect, rows_of, rows_of_sql  # noqa: E402
 
-from docloom.plans import bindings, layout_bindings, selection_bindings  # noqa: E402, F401
+from docloom.plans import bindings, layout_bindings, region_bindings, selection_bindings  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")
