@@ -15,35 +15,60 @@ KEYS = ["document_id", "chunk_index"]
 class Engine:
     """``root`` holds the versioned tables documents, nodes, parents, chunks, postings and stats."""
 
-    def __init__(self, spark: SparkSession, root: str, chunk_size: int = chunking.CHUNK, overlap: int = chunking.OVERLAP):
-        self.spark, self.store, self.size, self.overlap = spark, index.VersionedIndex(spark, root), chunk_size, overlap
+    def __init__(self, spark: SparkSession, root: str, chunk_size: int = chunking.CHUNK, overlap: int = chunking.OVERLAP, buckets: int = 64):
+        """``buckets``: parts that a sync can replace by themselves; an index keeps the number that it was built with."""
+        self.spark, self.store, self.size, self.overlap, self.buckets = spark, index.VersionedIndex(spark, root), chunk_size, overlap, buckets
 
     # --- index ---
 
-    def build(self, docs: DataFrame) -> str:
-        """``docs`` has source_path and text; the index is replaced."""
-        docs = docs.select(T.source_path("source_path").alias("source_path"), T.text_of("text").alias("text")).withColumn("sha256", F.sha2("text", 256))
+    def _prepared(self, docs: DataFrame) -> DataFrame:
+        return docs.select(T.source_path("source_path").alias("source_path"), T.text_of("text").alias("text")).withColumn("sha256", F.sha2("text", 256))
+
+    def _tables(self, docs: DataFrame) -> dict[str, DataFrame]:
         docs = docs.withColumn("filename", F.element_at(F.split("source_path", "/"), -1)).withColumn("document_id", T.document_id("source_path"))
         nodes = chunking.documents_to_nodes(docs)
         chunks = chunking.nodes_to_chunks(nodes, self.size, self.overlap).withColumn("node_type", F.lit("text"))
         none = F.lit(None).cast("string")
         chunks = chunks.withColumn("search_text", chunking.search_text(F.col("filename"), none, none, none, F.lit(None).cast("array<string>"), F.col("content")))
-        return self.store.commit({"documents": docs, "nodes": nodes, "parents": chunking.parents(nodes), "chunks": chunks, "postings": postings.postings(chunks, KEYS, "search_text"), "stats": postings.chunk_stats(chunks, "search_text")})
+        return {"documents": docs, "nodes": nodes, "parents": chunking.parents(nodes), "chunks": chunks, "postings": postings.postings(chunks, KEYS, "search_text"), "stats": postings.document_stats(chunks, KEYS, "search_text")}
+
+    def build(self, docs: DataFrame) -> str:
+        """``docs`` has source_path and text; the index is replaced."""
+        return self.store.replace(self._tables(self._prepared(docs)), "document_id", self.buckets)
+
+    def _replace(self, changed: DataFrame, rows) -> None:
+        """Writes the buckets of the changed paths anew; ``rows`` gives their documents. Nothing is written if there are none."""
+        held = self.store.manifest()
+        if held is None:
+            raise ValueError("this index is not in buckets: build it again")
+        n = held["n"]
+        at = index.bucket_of(T.document_id("source_path"), n)
+        buckets = sorted(r[0] for r in changed.select(at).distinct().collect())  # at most n numbers
+        if not buckets:
+            return
+        old = self.store.read("documents", buckets).select("source_path", "text", "sha256")
+        self.store.replace(self._tables(rows(old, at.isin(buckets))), "document_id", n, buckets)
 
     def sync(self, docs: DataFrame, remove_missing: bool = True) -> DataFrame:
-        """Brings the index up to ``docs``; returns what was done for each path. Unchanged documents keep their text."""
-        new = docs.select(T.source_path("source_path").alias("source_path"), T.text_of("text").alias("text")).withColumn("sha256", F.sha2("text", 256))
+        """Brings the index up to ``docs``; returns what was done for each path.
+
+        Only buckets with an added, updated or removed document are parsed and written; the files of all others stay.
+        """
+        new = self._prepared(docs)
         if self.store.version() is None:
-            self.build(new)
+            self.build(docs)
             return new.select(T.fold("source_path").alias("path"), F.lit("added").alias("action"))
-        old = self.store.read("documents").select("source_path", "text", "sha256")
-        actions = index.sync_actions(old, new, remove_missing)
-        self.build(index.apply_sync(old, new, actions))
+        old = self.store.read("documents").select("source_path", "sha256")
+        actions = index.sync_actions(old, new.drop("text"), remove_missing)
+        changed = actions.where(F.col("action").isin("added", "updated", "removed")).select(F.col("path").alias("source_path"))
+        self._replace(changed, lambda kept, inside: index.apply_sync(kept, new.where(inside), actions))
         return actions
 
     def delete(self, filenames: list[str]) -> None:
         gone = self.spark.createDataFrame([(f,) for f in filenames], "filename string")
-        self.build(index.delete_documents(self.documents(), gone))
+        left = index.delete_documents(self.documents().select("source_path", "filename"), gone)
+        changed = self.documents().select("source_path").join(left.select("source_path"), "source_path", "left_anti")
+        self._replace(changed, lambda kept, inside: kept.join(left.select("source_path"), "source_path", "left_semi"))
 
     def documents(self) -> DataFrame:
         return self.store.read("documents")
@@ -66,7 +91,7 @@ class Engine:
             raise ValueError("k must be from 1 to 20")
         chunks = selection.chunk_filter(self.store.read("chunks"), source_paths, node_types)
         wide = max(3 * k, 15) if diverse else max(2 * k, 10) if reranker or rules else k
-        scores = postings.bm25_scores(queries, chunks, KEYS, index=self.store.read("postings"), stats=self.store.read("stats"))
+        scores = postings.bm25_scores(queries, chunks, KEYS, index=self.store.read("postings"), stats=postings.total_stats(self.store.read("stats")))
         if source_paths or node_types:
             scores = scores.join(chunks.select(*KEYS), KEYS, "left_semi")
         first = postings.ranked(scores, max(4 * wide, 20), KEYS)

@@ -6,14 +6,18 @@ the old or the new index and nothing in between.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 
+BUCKET = "index_bucket"
+
 
 def rollup(chunks: DataFrame, name: str = "filename") -> DataFrame:
     """Per document: chunks, characters, distinct nodes, sorted node types."""
@@ -76,8 +80,16 @@ def integrity(nodes: DataFrame, parents: DataFrame, chunks: DataFrame, documents
     return out.unionByName(missing(parents, nodes, "content_node_id", "node_id", "parent_node_missing", "parent_id"))
 
 
+def bucket_of(key: Column | str, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
 class VersionedIndex:
-    """Named tables below ``root``; ``commit`` is atomic over all of them."""
+    """Named tables below ``root``; ``commit`` and ``replace`` are atomic over all of them.
+
+    ``commit`` writes whole tables. ``replace`` keeps rows in buckets of a key and writes the named buckets only; the new
+    version's manifest says in which version's folder each bucket of each table lies.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -91,11 +103,42 @@ class VersionedIndex:
             return None
         return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
 
-    def read(self, table: str) -> DataFrame:
+    def manifest(self, version: str | None = None) -> dict | None:
+        """Buckets and schemas of a version (the current one); none for a version of whole tables."""
+        version = version or self.version()
+        path = f"{self.root}/{version}/MANIFEST"
+        if version is None or not self._fs.exists(self._path(path)):
+            return None
+        return json.loads(self.spark.read.text(path, wholetext=True).first()[0])
+
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         version = self.version()
         if version is None:
             raise FileNotFoundError(f"{self.root} has no committed index")
-        return self.spark.read.parquet(f"{self.root}/{version}/{table}")
+        held = self.manifest(version)
+        if held is None:
+            return self.spark.read.parquet(f"{self.root}/{version}/{table}")
+        schema, where = StructType.fromJson(held["tables"][table]["schema"]), held["tables"][table]["buckets"]
+        paths = [f"{self.root}/{v}/{table}/{BUCKET}={b}" for b, v in where.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def replace(self, tables: dict[str, DataFrame], key: str, n: int, buckets: list[int] | None = None) -> str:
+        """Writes ``tables``, which hold all rows of ``buckets`` (of all ``n`` where none are named); other buckets stay as they are."""
+        version = f"v-{uuid.uuid4().hex}"
+        old = None if buckets is None else self.manifest()
+        if buckets is not None and (old is None or old["n"] != n):
+            raise ValueError("there is no index of as many buckets to replace some of")
+        new = {"n": n, "tables": {}}
+        for name, df in tables.items():
+            folder = f"{self.root}/{version}/{name}"
+            df.withColumn(BUCKET, bucket_of(key, n)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(folder)
+            held = {b: v for b, v in old["tables"][name]["buckets"].items() if int(b) not in buckets} if old else {}
+            names = [f.getPath().getName() for f in self._fs.listStatus(self._path(folder))]
+            held |= {d.split("=")[1]: version for d in names if d.startswith(f"{BUCKET}=")}
+            new["tables"][name] = {"schema": df.schema.jsonValue(), "buckets": held}
+        self._put(f"{self.root}/{version}/MANIFEST", json.dumps(new))
+        self._publish(version)
+        return version
 
     def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None) -> str:
         version = f"v-{uuid.uuid4().hex}"
@@ -104,25 +147,33 @@ class VersionedIndex:
             if column := (partition_by or {}).get(name):
                 writer = df.repartition(column).write.partitionBy(column)
             writer.parquet(f"{self.root}/{version}/{name}")
-        temporary = self._path(f"{self.root}/CURRENT-{version}")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(version.encode()))
+        self._publish(version)
+        return version
+
+    def _put(self, path: str, text: str) -> None:
+        out = self._fs.create(self._path(path), True)
+        out.write(bytearray(text.encode()))
         out.close()
-        # one step: readers find the old pointer or the new one
+
+    def _publish(self, version: str) -> None:
+        """One step: readers find the old pointer or the new one."""
+        temporary = self._path(f"{self.root}/CURRENT-{version}")
+        self._put(f"{self.root}/CURRENT-{version}", version)
         jvm = self.spark._jvm
         overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self.spark._jsc.hadoopConfiguration())
         files.rename(temporary, self._path(f"{self.root}/CURRENT"), overwrite)
-        return version
 
     def vacuum(self) -> int:
-        """Removes versions that the pointer does not name; returns how many."""
+        """Removes versions that neither the pointer nor its manifest names; returns how many."""
         current, n = self.version(), 0
         if current is None:
             return 0  # without a pointer nothing tells which version is in use
+        held = self.manifest(current) or {"tables": {}}
+        used = {current}.union(*[t["buckets"].values() for t in held["tables"].values()])
         for f in self._fs.listStatus(self._path(self.root)):
-            if f.getPath().getName().startswith("v-") and f.getPath().getName() != current:
+            if f.getPath().getName().startswith("v-") and f.getPath().getName() not in used:
                 self._fs.delete(f.getPath(), True)
                 n += 1
         return n

@@ -31,6 +31,15 @@ def chunk_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
     return chunks.select(F.size(T.bm25_tokens(content)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def document_stats(chunks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Chunk statistics by the first key, in a form that adds up: n and tokens."""
+    return chunks.select(keys[0], F.size(T.bm25_tokens(content)).alias("dl")).groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens"))
+
+
+def total_stats(by_document: DataFrame) -> DataFrame:
+    return by_document.agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
+
+
 def bm25_scores(queries: DataFrame, chunks: DataFrame, keys: list[str], query_id: str = "query_id", query_text: str = "query", index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """query_id, keys, score (rounded to 6 places, so that order does not hang on summation order).
 

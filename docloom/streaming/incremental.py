@@ -30,17 +30,24 @@ def conversation_state(messages: DataFrame, title_chars: int = 80) -> DataFrame:
     return messages.groupBy("conv_id").applyInPandasWithState(update, STATE, "n long, last long, first_user long, title string", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_documents(stream: DataFrame, target: str, checkpoint: str, key: str = "source_path"):
-    """Takes all files that are there, and lets the newest row of each key replace the stored one in a new table version."""
+def upsert_documents(stream: DataFrame, target: str, checkpoint: str, key: str = "source_path", buckets: int = 64):
+    """Takes all files that are there, and lets the newest row of each key replace the stored one in a new table version.
+
+    Only the buckets of the keys in a micro-batch are written.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        from docloom.operators.index import VersionedIndex
+        from docloom.operators.index import VersionedIndex, bucket_of
 
         index = VersionedIndex(batch.sparkSession, target)
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), "seen").alias("r")).select("r.*")
-        if index.version() is not None:
-            newest = index.read("documents").join(newest.select(key), key, "left_anti").unionByName(newest)
-        index.commit({"documents": newest})
+        if index.version() is None:
+            index.replace({"documents": newest}, key, buckets)
+            return
+        touched = sorted(r[0] for r in newest.select(bucket_of(key, buckets)).distinct().collect())  # at most that many numbers
+        if touched:
+            kept = index.read("documents", touched).join(newest.select(key), key, "left_anti").select(newest.columns)
+            index.replace({"documents": kept.unionByName(newest)}, key, buckets, touched)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

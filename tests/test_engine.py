@@ -76,3 +76,49 @@ def test_vacuum_needs_a_pointer(spark, tmp_path):
     assert v.version() == two != one and v.vacuum() == 1 and v.read("t").count() == 2
     v._fs.delete(v._path(f"{v.root}/CURRENT"), False)
     assert v.vacuum() == 0
+
+
+def _files(root):
+    return {p.relative_to(root): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_sync_writes_changed_buckets_only(spark, tmp_path):
+    root = tmp_path / "ix"
+    e = Engine(spark, f"file://{root}", buckets=8)
+    rows = [(f"d{i}.txt", f"document number {i} about topic{i}") for i in range(12)]
+    frame = lambda r: spark.createDataFrame(r, "source_path string, text string")
+    e.build(frame(rows))
+    before, first = _files(root), e.store.version()
+    assert {r.action for r in e.sync(frame(rows)).collect()} == {"skipped"}
+    assert _files(root) == before and e.store.version() == first  # nothing changed: nothing is written
+    held = e.store.manifest()["tables"]["documents"]["buckets"]
+    new = [(p, "a changed text with zebra" if p == "d3.txt" else t) for p, t in rows if p != "d5.txt"] + [("extra.txt", "one more")]
+    done = {r["path"]: r.action for r in e.sync(frame(new)).collect()}
+    assert {p: a for p, a in done.items() if a != "skipped"} == {"d3.txt": "updated", "d5.txt": "removed", "extra.txt": "added"}
+    now = e.store.manifest()["tables"]["documents"]["buckets"]
+    assert {b for b in held if now.get(b) == held[b]}  # some buckets lie where they lay
+    assert all(_files(root)[f] == t for f, t in before.items())
+    assert {(r.source_path, r.text) for r in e.documents().collect()} == set(new) and e.diagnose().count() == 0
+    whole = Engine(spark, f"file://{tmp_path}/whole", buckets=8)
+    whole.build(frame(new))
+    q = spark.createDataFrame([(1, "zebra"), (2, "topic9"), (3, "topic5")], "query_id int, query string")
+    found = lambda x: sorted(map(tuple, x.search(q, 3).select("query_id", "filename", "score", "rank").collect()))
+    assert found(e) == found(whole)  # same hits, scores and statistics as an index built at once
+    e.delete(["EXTRA.txt"])
+    e.store.vacuum()
+    assert {r.source_path for r in e.documents().collect()} == {p for p, _ in new} - {"extra.txt"} and e.diagnose().count() == 0
+
+
+def test_crash_before_the_pointer(spark, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/ix", buckets=4)
+    frame = lambda r: spark.createDataFrame(r, "source_path string, text string")
+    e.build(frame([("a.txt", "old words")]))
+    monkeypatch.setattr(type(e.store), "_publish", lambda self, version: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        e.sync(frame([("a.txt", "new words")]))
+    monkeypatch.undo()
+    assert [r.text for r in e.documents().collect()] == ["old words"] and e.store.vacuum() == 1
+    e.delete(["a.txt"])
+    assert e.documents().count() == 0 and e.documents().columns
+    assert {r.action for r in e.sync(frame([("a.txt", "new words")])).collect()} == {"added"}
+    assert [r.text for r in e.documents().collect()] == ["new words"]
