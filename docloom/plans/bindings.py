@@ -281,7 +281,14 @@ def extractive_answer(spark, sf_dir):
     return context.extractive_answer(_hits(spark, sf_dir)).select("query_id", F.sha2("answer", 256).alias("answer_hash"))
 
 
-@binding()
+_PARTS = f"list_filter(list_transform(string_split_regex(content, '[。！？!?]\\s*|\\n+'), lambda s: {S.strip('s')}), lambda s: length(s) > 0)"
+
+
+@binding(f"""WITH {_HITS}, p AS (SELECT query_id, rank, content, {_PARTS} AS parts, list_distinct(string_split(lower(q.query), '')) AS ch FROM hits JOIN q USING (query_id) WHERE rank <= 3),
+u AS (SELECT query_id, rank, ch, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM p),
+n AS (SELECT query_id, rank, arg_max(s, 1000000 * len(list_filter(list_distinct(string_split(s, '')), lambda c: list_contains(ch, c))) - i) AS best FROM u GROUP BY ALL),
+a AS (SELECT query_id, rank, {S.strip("left(regexp_replace(coalesce(best, content), '\\[[0-9]+\\]', '', 'g'), 240)")} AS line FROM p LEFT JOIN n USING (query_id, rank))
+SELECT query_id, string_agg(line || ' [' || rank || ']', chr(10) ORDER BY rank) AS answer FROM a GROUP BY query_id""")
 def sentence_answer(spark, sf_dir):
     return context.sentence_answer(_hits(spark, sf_dir, 3).join(questions(spark, sf_dir), "query_id"))
 

@@ -138,3 +138,31 @@ def horizontal_rules(spark, sf_dir):
     kind = F.when(page % 2 == 0, "re").otherwise("l")
     d = r.select(F.col("l_orderkey").alias("doc"), page.alias("page"), kind.alias("kind"), (w + 10).alias("x0"), F.lit(50.0).alias("y0"), F.lit(10.0).alias("x1"), (dy + 50).alias("y1"), F.lit(600.0).alias("page_width"))
     return regions.horizontal_rules(d)
+
+
+_VERB = r"(?i)^(?:图|fig\.?|figure)\s*[\d一二三四五六七八九十]+\s*为"
+
+
+@binding(f"""WITH {_LINES}, x AS (SELECT doc, page, line_no, CASE WHEN line_no % 11 = 3 THEN 'Figure ' || (line_no // 11) || ' plan' ELSE text END AS text, y0, y1 FROM l),
+c AS (SELECT *, coalesce(lag(y1) OVER w, 0) AS above, row_number() OVER w AS figure FROM x WHERE regexp_matches({S.squeeze('text')}, {S.lit(M.FIGURE_CAPTION)}) AND length({S.squeeze('text')}) <= 100 AND NOT regexp_matches({S.squeeze('text')}, {S.lit(_VERB)}) WINDOW w AS (PARTITION BY doc, page ORDER BY line_no)),
+v AS (SELECT doc, page, y0, y1, CASE WHEN line_no % 2 = 0 THEN 'image' ELSE 'drawing' END AS kind FROM x WHERE line_no % 5 = 1),
+f AS (SELECT c.doc, c.page, c.figure, CASE WHEN count(kind) = 0 THEN 'caption_only' WHEN min(kind) <> max(kind) THEN 'mixed' ELSE min(kind) END AS visual_kind, least(min(v.y0), min(c.y0)) AS y0, greatest(max(v.y1), max(c.y1)) AS y1
+  FROM c LEFT JOIN v ON c.doc = v.doc AND c.page = v.page AND v.y1 BETWEEN greatest(c.above, c.y0 - 280) AND c.y0 + 2 GROUP BY ALL),
+t AS (SELECT f.doc, f.page, f.figure, x.text, x.line_no, least(abs(x.y1 - f.y0), abs(x.y0 - f.y1)) AS apart FROM f JOIN x ON f.doc = x.doc AND f.page = x.page WHERE NOT regexp_matches({S.strip('x.text')}, {S.lit(M.FIGURE_CAPTION)}) AND NOT regexp_matches({S.strip('x.text')}, {S.lit(M.TABLE_CAPTION)})),
+n AS (SELECT doc, page, figure, string_agg(text, chr(31) ORDER BY apart, line_no) AS near FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, figure ORDER BY apart, line_no) AS nth FROM t WHERE apart <= 96) WHERE nth <= 3 GROUP BY ALL)
+SELECT f.doc, f.page::INT AS page, f.figure::INT AS figure, visual_kind, f.y0, f.y1, sha256(coalesce(near, '')) AS near_hash FROM f LEFT JOIN n ON f.doc = n.doc AND f.page = n.page AND f.figure = n.figure""")
+def figures(spark, sf_dir):
+    text = F.when(F.col("line_no") % 11 == 3, F.concat(F.lit("Figure "), F.floor(F.col("line_no") / 11).cast("string"), F.lit(" plan"))).otherwise(F.col("text"))
+    x = lines(spark, sf_dir).withColumn("text", text).withColumn("is_math", F.lit(False))
+    v = x.where("line_no % 5 = 1").select("doc", "page", F.when(F.col("line_no") % 2 == 0, "image").otherwise("drawing").alias("kind"), *regions.BOX)
+    return regions.figures(x, v).select("doc", "page", "figure", "visual_kind", "y0", "y1", F.sha2(F.array_join("nearby_text", "\x1f"), 256).alias("near_hash"))
+
+
+@binding(f"""WITH {_WORDS}, g AS (SELECT doc, page, line_no // 4 AS line, string_agg(word, '' ORDER BY line_no) AS text, max(font_size) AS font_size, bool_or(line_no % 7 = 0 OR contains(lower(word), 'bold')) AS bold, min(x0) AS x0, max(x1) AS x1
+  FROM (SELECT c.*, p.word || ' ' AS word FROM c JOIN p ON c.doc = p.doc AND c.line_no = p.i) GROUP BY ALL)
+SELECT doc, page, line::BIGINT AS line_no, sha256({S.squeeze('text')}) AS text_hash, font_size, bold, x0, x1 FROM g WHERE length({S.squeeze('text')}) > 0""")
+def lines_from_spans(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("line_no", "word"))
+    w = words(spark, sf_dir).join(d, ["doc", "line_no"])
+    s = w.select("doc", "page", F.floor(F.col("line_no") / 4).alias("line_no"), F.col("line_no").alias("span_no"), F.concat("word", F.lit(" ")).alias("text"), F.col("font_size").alias("size"), F.col("word").alias("font"), (F.col("line_no") % 7 == 0).alias("bold"), *regions.BOX)
+    return regions.lines_from_spans(s).select("doc", "page", "line_no", F.sha2("text", 256).alias("text_hash"), "font_size", "bold", "x0", "x1")
