@@ -20,6 +20,11 @@ def fixed_windows(c: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Colum
     return F.when(F.length(c) > 0, windows).otherwise(F.array().cast("array<string>"))
 
 
+def fixed_window(c: Column, i: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """The window number i (from 0) of ``fixed_windows``."""
+    return T.strip(c.substr(i * max(size - overlap, 1) + 1, F.lit(size)))
+
+
 def split_text(c: Column | str, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Paragraphs packed up to ``size``; a longer paragraph is cut into fixed windows."""
     text = T.text_of(c)

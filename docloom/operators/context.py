@@ -16,6 +16,9 @@ def with_parents(hits: DataFrame, parents: DataFrame, nodes: DataFrame, query_id
     """Adds parent_content: the text of the hit's parent node, once for each parent, within a budget that skips what does not fit."""
     p = parents.select("document_id", "parent_id", "content_node_id")
     n = nodes.select(F.col("document_id"), F.col("node_id").alias("content_node_id"), F.col("content").alias("parent_text"))
+    # of all parents and nodes those of the hits' documents only, which are few: the rest is not dealt out
+    own = F.broadcast(hits.select("document_id").distinct())
+    p, n = p.join(own, "document_id", "left_semi"), n.join(own, "document_id", "left_semi")
     x = hits.join(p, ["document_id", "parent_id"], "left").join(n, ["document_id", "content_node_id"], "left")
     usable = (F.length(T.strip("parent_text")) > 0) & (T.strip("parent_text") != T.strip("content"))
     x = x.withColumn("usable", F.coalesce(usable, F.lit(False)))
