@@ -7,6 +7,12 @@ no part in geometry; an empty table gives an empty table; equal positions are or
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,30 +99,85 @@ def clustered(df: DataFrame, keys: tuple[str, ...], value: str, order: tuple[str
     return g.select(*keys, F.explode(F.zip_with("seq", ids, lambda t, k: F.struct(t.alias("t"), k.alias(name)))).alias("z")).select(*keys, "z.t.*", f"z.{name}")
 
 
-def nearest(anchors: Column, x: Column) -> Column:
-    """Position from 1 of the nearest anchor, the first on ties."""
-    apart = F.transform(anchors, lambda a: F.abs(a - x))
-    return F.array_position(apart, F.array_min(apart))
-
-
-def _cells(placed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Lines with row r, column at, width, x, line_no and text as arrays of rows; texts of one cell from left to right."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("x", "line_no", "text"))), lambda t: t["text"])
-    cell = placed.groupBy(*keys, "r", "at").agg(F.array_join(texts, " ").alias("v"), F.max("width").alias("width"))
-    row = cell.groupBy(*keys, "r").agg(F.collect_list(F.struct("at", "v")).alias("vs"), F.max("width").alias("width"))
-    filled = F.transform(F.sequence(F.lit(1), F.col("width")), lambda k: F.array_join(F.transform(F.filter("vs", lambda c: c["at"] == k), lambda c: c["v"]), ""))
-    return row.select(*keys, "r", filled.alias("cs")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "cs"))), lambda t: t["cs"]).alias("cells"))
+def walked(df: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...], walk: Callable[..., Iterator[tuple]], out: str, types: tuple[pa.DataType, ...]) -> DataFrame:
+    """Rows (keys and ``out``) that ``walk`` makes from the lists of a group's fields. Folds over a page's lines are walked in
+    Python: as expressions they are interpreted node by node."""
+    df = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    names = [part.split()[0] for part in out.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                ends = np.cumsum(pc.list_value_length(b.column("seq")).to_numpy(zero_copy_only=False)).tolist()
+                flat = pc.list_flatten(b.column("seq"))
+                lists = [pc.struct_field(flat, f).to_pylist() for f in fields]
+                at, found, begin = [], [], 0
+                for g, end in enumerate(ends):
+                    for row in walk(*[v[begin:end] for v in lists]):
+                        at.append(g)
+                        found.append(row)
+                    begin = end
+                values = [pa.array([r[j] for r in found], t) for j, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at, pa.int64())) for k in keys], *values], names=[*keys, *names])
+
+    return df.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("seq")).mapInArrow(run, f"{kinds}, {out}")
+
+
+CELLS = pa.list_(pa.list_(pa.string()))
+
+
+def _low(v) -> tuple:
+    """Sort key with nulls first."""
+    return (v is not None, v)
+
+
+def _clusters(values: list[float], gap: float) -> list[int]:
+    """As ``cluster_ids``."""
+    s, n, k, ids = 0.0, 0, 0, []
+    for v in values:
+        if n and abs(v - s / n) <= gap:
+            s, n = s + v, n + 1
+        else:
+            s, n, k = v, 1, k + 1
+        ids.append(k)
+    return ids
+
+
+def _filled(row: list[int], x: list[float | None], line_no: list, text: list[str | None], anchors: list[float]) -> list[list[str]]:
+    """Lines in rows (from 1) as rows of cells, each in its nearest column; texts of one cell from left to right."""
+    cells: dict[tuple[int, int], list] = {}
+    near: dict[float, int] = {}
+    for r, v, i, t in zip(row, x, line_no, text, strict=True):
+        if v is None:
+            continue
+        if v not in near:
+            apart = [abs(a - v) for a in anchors]
+            near[v] = apart.index(min(apart))
+        cells.setdefault((r, near[v]), []).append((v, _low(i), t))
+    joined = {at: " ".join(t for *_, t in (sorted(c, key=lambda p: (p[0], p[1], _low(p[2]))) if len(c) > 1 else c) if t is not None) for at, c in cells.items()}
+    return [[joined.get((r, k), "") for k in range(len(anchors))] for r in range(1, max(row) + 1)]
 
 
 def grid(lines: DataFrame, keys: tuple[str, ...], row_gap: float = 6.0, column_gap: float = 24.0) -> DataFrame:
     """Lines of one table each (by ``keys``) as an array of rows of cells; under two rows or two columns there is no table."""
+
+    def walk(y0: list, x0: list, line_no: list, text: list, centre: list) -> Iterator[tuple]:
+        order = sorted(range(len(x0)), key=lambda i: (y0[i], x0[i], _low(line_no[i]), centre[i], _low(text[i])))
+        row = _clusters([centre[i] for i in order], row_gap)
+        across = sorted(x0)
+        column = _clusters(across, column_gap)
+        if row[-1] < 2 or column[-1] < 2:
+            return
+        sums: dict[int, list[float]] = {}
+        for k, v in zip(column, across, strict=True):
+            sums.setdefault(k, []).append(v)
+        anchors = [sum(v) / len(v) for v in sums.values()]
+        yield (_filled(row, [x0[i] for i in order], [line_no[i] for i in order], [text[i] for i in order], anchors),)
+
     x = lines.where("x0 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL").select(*keys, "y0", "x0", "line_no", "text", ((F.col("y0") + F.col("y1")) / 2).alias("centre"))
-    rows = clustered(x, keys, "centre", ("y0", "x0", "line_no"), row_gap, "r", ("text",))
-    both = clustered(rows, keys, "x0", ("x0", "line_no", "y0"), column_gap, "k", ("text", "r"))
-    means = both.groupBy(*keys, "k").agg(F.avg("x0").alias("mean"), F.max("r").alias("last"))
-    means = means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "mean"))), lambda m: m["mean"]).alias("anchors"), F.max("last").alias("last"))
-    placed = both.join(means.where((F.size("anchors") >= 2) & (F.col("last") >= 2)), list(keys))
-    return _cells(placed.select(*keys, "r", nearest(F.col("anchors"), F.col("x0")).cast("int").alias("at"), F.size("anchors").alias("width"), F.col("x0").alias("x"), "line_no", "text"), keys)
+    return walked(x, keys, ("y0", "x0", "line_no", "text", "centre"), walk, "cells array<array<string>>", (CELLS,))
 
 
 # --- tables ---
@@ -194,27 +255,45 @@ def section_like(c: Column) -> Column:
     return F.rlike(c, F.lit(M.NUMBERED_HEADING)) | F.rlike(c, F.lit(M.CHINESE_HEADING)) | F.rlike(c, F.lit(M.CHAPTER))
 
 
+def _tenths(v: float) -> float:
+    return float(Decimal(repr(v)).quantize(Decimal("0.1"), ROUND_HALF_UP))
+
+
 def caption_tables(lines: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Tables below a caption: lines go on until a heading, a long line or a wide gap; the first two rows give the columns."""
-    caps = lines.where(F.rlike(T.strip("text"), F.lit(M.TABLE_CAPTION))).select(*PAGE, F.col("line_no").alias("caption_no"), F.col("text").alias("caption"), F.col("y0").alias("c_y0"), F.col("y1").alias("c_y1"))
+    x = lines.select(*PAGE, "line_no", "text", *BOX, F.col("page_height") * 0.92, F.rlike(T.strip("text"), F.lit(M.TABLE_CAPTION)), section_like(T.strip("text")) | (F.length("text") > 60)).toDF(*PAGE, "line_no", "text", *BOX, "foot", "cap", "ends")
     if existing is not None:
         e = existing.select(F.col("doc").alias("e_doc"), F.col("page").alias("e_page"), F.col("y0").alias("e_y0"))
-        below = (F.col("doc") == F.col("e_doc")) & (F.col("page") == F.col("e_page")) & (F.col("e_y0") >= F.col("c_y0")) & (F.col("e_y0") - F.col("c_y1") < 80)
-        caps = caps.join(e, below, "left_anti")
-    x = lines.join(caps, list(PAGE)).where((F.col("y0") > F.col("c_y1") + 8) & (F.col("y0") < F.col("page_height") * 0.92))
-    table = (*PAGE, "caption_no")
-    w = Window.partitionBy(*table).orderBy("y0", "x0", "line_no")
-    x = x.withColumn("gap", F.col("y0") - F.lag("y0").over(w))
-    x = x.withColumn("r", 1 + F.sum(F.coalesce((F.col("gap") > 8).cast("int"), F.lit(0))).over(w))
-    stop = F.col("gap").isNotNull() & (section_like(T.strip("text")) | (F.length("text") > 60) | ((F.col("gap") > 28) & (F.lag("r").over(w) >= 2)))
-    x = x.withColumn("stop", stop.cast("int")).withColumn("stops", F.sum("stop").over(w)).where("stops = 0")
-    g = x.groupBy(*table).agg(
-        F.first("caption").alias("caption"), F.array_sort(F.collect_set(F.when(F.col("r") <= 2, F.round("x0", 1)))).alias("anchors"), F.max("r").alias("n_rows"),
-        F.min("x0").alias("b_x0"), F.min("y0").alias("b_y0"), F.max("x1").alias("b_x1"), F.max("y1").alias("b_y1"),
-    ).where((F.size("anchors") >= 3) & (F.col("n_rows") >= 2))
-    placed = x.drop("caption").join(g, list(table))
-    placed = placed.select(*table, F.col("r").cast("int").alias("r"), nearest(F.col("anchors"), F.col("x0")).cast("int").alias("at"), F.size("anchors").alias("width"), F.col("x0").alias("x"), "line_no", "text")
-    return _cells(placed, table).join(g, list(table)).select(*table, "caption", *[F.col(f"b_{b}").alias(b) for b in BOX], "cells")
+        below = (F.col("doc") == F.col("e_doc")) & (F.col("page") == F.col("e_page")) & (F.col("e_y0") >= F.col("y0")) & (F.col("e_y0") - F.col("y1") < 80)
+        x = x.where("NOT coalesce(cap, false)").unionByName(x.where("cap").join(e, below, "left_anti")).unionByName(x.where("cap").join(e, below, "left_semi").withColumn("cap", F.lit(False)))
+
+    def walk(line_no: list, text: list, x0: list, y0: list, x1: list, y1: list, foot: list, cap: list, ends: list) -> Iterator[tuple]:
+        captions = [i for i in range(len(cap)) if cap[i] and y1[i] is not None]
+        if not captions:
+            return
+        order = sorted((i for i in range(len(y0)) if y0[i] is not None and foot[i] is not None and y0[i] < foot[i]), key=lambda i: (y0[i], _low(x0[i]), _low(line_no[i])))
+        for c in captions:
+            kept: list[int] = []
+            row: list[int] = []
+            for i in order:
+                if not y0[i] > y1[c] + 8:
+                    continue
+                gap = y0[i] - y0[kept[-1]] if kept else None
+                if gap is not None and (ends[i] or (gap > 28 and row[-1] >= 2)):
+                    break
+                row.append(row[-1] + (gap > 8) if kept else 1)
+                kept.append(i)
+            anchors = sorted({_tenths(x0[i]) for i, r in zip(kept, row, strict=True) if r <= 2 and x0[i] is not None})
+            if len(anchors) < 3 or row[-1] < 2:
+                continue
+            of = lambda v: [v[i] for i in kept]  # noqa: B023, E731
+            box = [f((v for v in of(b) if v is not None), default=None) for f, b in ((min, x0), (min, y0), (max, x1), (max, y1))]
+            yield (line_no[c], text[c], *box, _filled(row, of(x0), of(line_no), of(text), anchors))
+
+    number = lines.schema["line_no"].dataType.simpleString()
+    out = f"caption_no {number}, caption string, x0 double, y0 double, x1 double, y1 double, cells array<array<string>>"
+    types = ({"int": pa.int32(), "bigint": pa.int64()}[number], pa.string(), *[pa.float64()] * 4, CELLS)
+    return walked(x, PAGE, ("line_no", "text", *BOX, "foot", "cap", "ends"), walk, out, types)
 
 
 def merge_wrapped_rows(cells: Column) -> Column:

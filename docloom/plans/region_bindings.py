@@ -9,19 +9,25 @@ from docloom.functions import markers as M
 from docloom.operators import layout, regions
 from docloom.plans import sql as S
 from docloom.plans.bindings import binding, table
+from docloom.plans.stored import pieces
 from docloom.plans.layout_bindings import _LINES, _NUMBERED, lines
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each word of a document as a positioned line; every second page starts with a table's caption."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("i", "word"))
+def words(spark: SparkSession, sf_dir: str, spelling: bool = False) -> DataFrame:
+    """Each word of a document as a positioned line; every second page starts with a table's caption. ``spelling`` adds the word itself.
+
+    Documents are dealt out whole, before they become many rows: whatever goes by document and page is then done in place.
+    """
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    d = d.repartition(pieces(spark, f"{sf_dir}/documents.parquet"), "doc")
+    d = d.select("doc", F.posexplode(F.split("text", " ")).alias("i", "word"))
     page, at, n = (F.floor(F.col("i") / 120) + 1).cast("int"), F.col("i") % 120, F.length("word")
     x0 = 40.0 + 130 * (at % 4) + 4 * (n % 5)
     y0 = 30.0 + 22 * F.floor(at / 4) + F.col("i") % 3
     text = F.when(F.col("i") % 240 == 120, F.concat(F.lit("Table "), page.cast("string"))).otherwise(F.col("word"))
     return d.select(
         "doc", page.alias("page"), F.col("i").alias("line_no"), text.alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + 60).alias("x1"), (y0 + 12).alias("y1"),
-        F.when(n > 9, 16.0).otherwise(11.0).alias("font_size"), F.lit(False).alias("bold"), (F.col("i") % 17 == 0).alias("is_math"), F.lit(700.0).alias("page_height"), F.lit(600.0).alias("page_width"),
+        F.when(n > 9, 16.0).otherwise(11.0).alias("font_size"), F.lit(False).alias("bold"), (F.col("i") % 17 == 0).alias("is_math"), F.lit(700.0).alias("page_height"), F.lit(600.0).alias("page_width"), *(["word"] if spelling else []),
     )
 
 
@@ -162,7 +168,5 @@ def figures(spark, sf_dir):
   FROM (SELECT c.*, p.word || ' ' AS word FROM c JOIN p ON c.doc = p.doc AND c.line_no = p.i) GROUP BY ALL)
 SELECT doc, page, line::BIGINT AS line_no, sha256({S.squeeze('text')}) AS text_hash, font_size, bold, x0, x1 FROM g WHERE length({S.squeeze('text')}) > 0""")
 def lines_from_spans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ")).alias("line_no", "word"))
-    w = words(spark, sf_dir).join(d, ["doc", "line_no"])
-    s = w.select("doc", "page", F.floor(F.col("line_no") / 4).alias("line_no"), F.col("line_no").alias("span_no"), F.concat("word", F.lit(" ")).alias("text"), F.col("font_size").alias("size"), F.col("word").alias("font"), (F.col("line_no") % 7 == 0).alias("bold"), *regions.BOX)
+    s = words(spark, sf_dir, spelling=True).select("doc", "page", F.floor(F.col("line_no") / 4).alias("line_no"), F.col("line_no").alias("span_no"), F.concat("word", F.lit(" ")).alias("text"), F.col("font_size").alias("size"), F.col("word").alias("font"), (F.col("line_no") % 7 == 0).alias("bold"), *regions.BOX)
     return regions.lines_from_spans(s).select("doc", "page", "line_no", F.sha2("text", 256).alias("text_hash"), "font_size", "bold", "x0", "x1")

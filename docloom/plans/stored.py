@@ -30,6 +30,11 @@ def _stamp(spark: SparkSession, path: str) -> tuple:
     return total.getLength(), total.getFileCount(), files.getFileStatus(p).getModificationTime()
 
 
+def pieces(spark: SparkSession, source: str, size: int = 1 << 22) -> int:
+    """Parts of about ``size`` bytes of the files of ``source``, for rows that grow after they are dealt out."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), _stamp(spark, source)[0] // size + 1)
+
+
 def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` made from the files of ``source``."""
     key = (spark.sparkContext.applicationId, source, name, _stamp(spark, source))
