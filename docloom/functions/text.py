@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def text_of(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
