@@ -25,6 +25,12 @@ def fixed_window(c: Column, i: Column, size: int = CHUNK, overlap: int = OVERLAP
     return T.strip(c.substr(i * max(size - overlap, 1) + 1, F.lit(size)))
 
 
+def windows(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """``fixed_windows`` in Python, for tasks that only look at the words: not stripped, as white space has none."""
+    text, step = text or "", max(size - overlap, 1)
+    return [text[i : i + size] for i in range(0, max(len(text) - size + step, 1), step)] if text else []
+
+
 def split_text(c: Column | str, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Paragraphs packed up to ``size``; a longer paragraph is cut into fixed windows."""
     text = T.text_of(c)
