@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -99,22 +100,32 @@ def clustered(df: DataFrame, keys: tuple[str, ...], value: str, order: tuple[str
     return g.select(*keys, F.explode(F.zip_with("seq", ids, lambda t, k: F.struct(t.alias("t"), k.alias(name)))).alias("z")).select(*keys, "z.t.*", f"z.{name}")
 
 
-def walked(df: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...], walk: Callable[..., Iterator[tuple]], out: str, types: tuple[pa.DataType, ...]) -> DataFrame:
+def walked(df: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...], walk: Callable[..., Iterator[tuple]], out: str, types: tuple[pa.DataType, ...], together: Callable | None = None) -> DataFrame:
     """Rows (keys and ``out``) that ``walk`` makes from the lists of a group's fields. Folds over a page's lines are walked in
-    Python: as expressions they are interpreted node by node."""
+    Python: as expressions they are interpreted node by node.
+
+    ``together`` (ends of the groups, a flat array a field) does the same for many groups at once: the groups that give a row,
+    and the columns of ``out``; or None where it can't, and the groups are walked.
+    """
     df = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     names = [part.split()[0] for part in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                ends = np.cumsum(pc.list_value_length(b.column("seq")).to_numpy(zero_copy_only=False)).tolist()
+            step = 256 if together is None else 1024
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                ends = np.cumsum(pc.list_value_length(b.column("seq")).to_numpy(zero_copy_only=False))
                 flat = pc.list_flatten(b.column("seq"))
-                lists = [pc.struct_field(flat, f).to_pylist() for f in fields]
+                arrays = [pc.struct_field(flat, f) for f in fields]
+                made = None if together is None else together(ends, *arrays)
+                if made is not None:
+                    yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(made[0], pa.int64())) for k in keys], *made[1]], names=[*keys, *names])
+                    continue
+                lists = [a.to_pylist() for a in arrays]
                 at, found, begin = [], [], 0
-                for g, end in enumerate(ends):
+                for g, end in enumerate(ends.tolist()):
                     for row in walk(*[v[begin:end] for v in lists]):
                         at.append(g)
                         found.append(row)
@@ -160,24 +171,98 @@ def _filled(row: list[int], x: list[float | None], line_no: list, text: list[str
     return [[joined.get((r, k), "") for k in range(len(anchors))] for r in range(1, max(row) + 1)]
 
 
-def grid(lines: DataFrame, keys: tuple[str, ...], row_gap: float = 6.0, column_gap: float = 24.0) -> DataFrame:
-    """Lines of one table each (by ``keys``) as an array of rows of cells; under two rows or two columns there is no table."""
+def _grid(y0: list, x0: list, line_no: list, text: list, centre: list, row_gap: float, column_gap: float) -> Iterator[tuple]:
+    """The grid of one group."""
+    order = sorted(range(len(x0)), key=lambda i: (y0[i], x0[i], _low(line_no[i]), centre[i], _low(text[i])))
+    row = _clusters([centre[i] for i in order], row_gap)
+    across = sorted(x0)
+    column = _clusters(across, column_gap)
+    if row[-1] < 2 or column[-1] < 2:
+        return
+    sums: dict[int, list[float]] = {}
+    for k, v in zip(column, across, strict=True):
+        sums.setdefault(k, []).append(v)
+    anchors = [sum(v) / len(v) for v in sums.values()]
+    yield (_filled(row, [x0[i] for i in order], [line_no[i] for i in order], [text[i] for i in order], anchors),)
+
+
+def _clusters_of_all(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gap: float) -> np.ndarray:
+    """As ``_clusters`` for many lists that lie one after the other, all lists one value further at a time."""
+    longest_first = np.argsort(-sizes, kind="stable")
+    at = starts[longest_first]
+    s, n, k, ids = np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at), np.int64), np.empty(len(values), np.int64)
+    alive = len(sizes) - np.cumsum(np.bincount(sizes, minlength=1))
+    for i, m in enumerate(alive[:-1].tolist()):
+        place = at[:m] + i
+        v, sm, nm = values[place], s[:m], n[:m]
+        near = (nm > 0) & (np.abs(v - sm / np.maximum(nm, 1)) <= gap)
+        s[:m] = np.where(near, sm, 0) + v
+        n[:m] = np.where(near, nm, 0) + 1
+        k[:m] += ~near
+        ids[place] = k[:m]
+    return ids
+
+
+def _nearest(values: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """The first of the nearest anchors between ``low`` and ``high``, which ascend; the search begins at ``own``."""
+    k = own
+    while True:
+        down = np.maximum(k - 1, low)
+        moved = np.where(np.abs(anchors[down] - values) <= np.abs(anchors[k] - values), down, k)
+        if (moved == k).all():
+            break
+        k = moved
+    while True:
+        up = np.minimum(k + 1, high)
+        moved = np.where(np.abs(anchors[up] - values) < np.abs(anchors[k] - values), up, k)
+        if (moved == k).all():
+            return k
+        k = moved
+
+
+def _nested(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+#: lines of a group up to which groups are gridded together
+TOGETHER = 4096
+
+
+def _grids(ends: np.ndarray, y0: pa.Array, x0: pa.Array, line_no: pa.Array, text: pa.Array, centre: pa.Array, row_gap: float, column_gap: float) -> tuple[np.ndarray, list[pa.Array]] | None:
+    """The grids of many groups; None for long groups, odd numbers or lines that only their text puts in order."""
+    sizes = np.diff(ends, prepend=0)
+    if line_no.null_count or not pa.types.is_integer(line_no.type) or not all(pa.types.is_float64(a.type) for a in (y0, x0, centre)) or sizes.max(initial=0) > TOGETHER or sizes.min(initial=1) < 1:
+        return None
+    y, x, c, number = (a.to_numpy(zero_copy_only=False) for a in (y0, x0, centre, line_no))
+    if not (np.isfinite(y).all() and np.isfinite(x).all() and np.isfinite(c).all()):
+        return None
+    starts, group = ends - sizes, np.repeat(np.arange(len(ends)), sizes)
+    down, across = np.lexsort((c, number, x, y, group)), np.lexsort((x, group))
+    row, column = _clusters_of_all(c[down], starts, sizes, row_gap), _clusters_of_all(x[across], starts, sizes, column_gap)
+    n_rows, n_columns = row[ends - 1], column[ends - 1]
+    first = np.cumsum(n_columns) - n_columns
+    own = first[group] + column - 1
+    anchors = np.bincount(own, x[across]) / np.bincount(own)
+    near = _nearest(x[across], own, first[group], (first + n_columns - 1)[group], anchors) - first[group]
+    r, k = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+    r[down], k[across] = row - 1, near
+    table = (n_rows >= 2) & (n_columns >= 2)
+    n_cells = np.where(table, n_rows * n_columns, 0)
+    w = np.flatnonzero(table[group] & text.is_valid().to_numpy(zero_copy_only=False))
+    g = group[w]
+    cell = (np.cumsum(n_cells) - n_cells)[g] + r[w] * n_columns[g] + k[w]
+    order = np.lexsort((number[w], x[w], cell))
+    if (~(np.diff(cell[order]) | np.diff(number[w][order])).astype(bool) & (np.diff(x[w][order]) == 0)).any():
+        return None
+    texts = pc.binary_join(_nested(text.take(pa.array(w[order])), np.bincount(cell, minlength=n_cells.sum())), " ")
+    return np.flatnonzero(table), [_nested(_nested(texts, np.repeat(n_columns[table], n_rows[table])), n_rows[table])]
 
-    def walk(y0: list, x0: list, line_no: list, text: list, centre: list) -> Iterator[tuple]:
-        order = sorted(range(len(x0)), key=lambda i: (y0[i], x0[i], _low(line_no[i]), centre[i], _low(text[i])))
-        row = _clusters([centre[i] for i in order], row_gap)
-        across = sorted(x0)
-        column = _clusters(across, column_gap)
-        if row[-1] < 2 or column[-1] < 2:
-            return
-        sums: dict[int, list[float]] = {}
-        for k, v in zip(column, across, strict=True):
-            sums.setdefault(k, []).append(v)
-        anchors = [sum(v) / len(v) for v in sums.values()]
-        yield (_filled(row, [x0[i] for i in order], [line_no[i] for i in order], [text[i] for i in order], anchors),)
 
+def grid(lines: DataFrame, keys: tuple[str, ...], row_gap: float = 6.0, column_gap: float = 24.0) -> DataFrame:
+    """Lines of one table each (by ``keys``) as an array of rows of cells; under two rows or two columns there is no table."""
     x = lines.where("x0 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL").select(*keys, "y0", "x0", "line_no", "text", ((F.col("y0") + F.col("y1")) / 2).alias("centre"))
-    return walked(x, keys, ("y0", "x0", "line_no", "text", "centre"), walk, "cells array<array<string>>", (CELLS,))
+    one, many = (partial(f, row_gap=row_gap, column_gap=column_gap) for f in (_grid, _grids))
+    return walked(x, keys, ("y0", "x0", "line_no", "text", "centre"), one, "cells array<array<string>>", (CELLS,), many)
 
 
 # --- tables ---

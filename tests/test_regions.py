@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,34 @@ def test_no_rows(spark):
     v = spark.createDataFrame([], "doc long, page int, kind string, x0 double, y0 double, x1 double, y1 double")
     for got in (regions.text_layer(none), regions.table_pages(none), regions.caption_tables(none), regions.grid(none, regions.PAGE), regions.figures(none, v), regions.formula_regions(none), regions.confident_columns(none)):
         assert got.collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_grids_of_many_groups(seed):
+    """Groups that are gridded together are those gridded one by one: uneven sizes, ties, null texts, uneven positions."""
+    rng = np.random.default_rng(seed)
+    groups = []
+    for _ in range(60):
+        n = int(rng.integers(1, 90))
+        x0 = rng.integers(0, 9, n) * 30.0 + rng.integers(0, 4, n) * (7.5 if seed % 2 else 0.1)
+        y0 = rng.integers(0, 12, n) * 10.0 + rng.integers(0, 3, n)
+        text = [None if v < 0.1 else f"t{v:.3f}" for v in rng.random(n)]
+        groups.append((y0.tolist(), x0.tolist(), rng.permutation(n).tolist(), text, (y0 + rng.integers(0, 3, n)).tolist()))
+    ends = np.cumsum([len(g[0]) for g in groups])
+    flat = [pa.array([v for g in groups for v in g[j]], t) for j, t in enumerate((pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.float64()))]
+    want = [(i, cells) for i, g in enumerate(groups) for (cells,) in regions._grid(*g, 6.0, 24.0)]
+    at, (cells,) = regions._grids(ends, *flat, 6.0, 24.0)
+    assert list(zip(at.tolist(), cells.to_pylist(), strict=True)) == want
+
+
+def test_grids_that_are_walked():
+    """Null or equal line numbers, endless positions and long groups are left to the walk."""
+    kinds = (pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.float64())
+    base = ([0.0, 0.0, 20.0], [0.0, 50.0, 0.0], [1, 2, 3], ["a", "b", "c"], [6.0, 6.0, 26.0])
+    made = lambda cols, n=3: regions._grids(np.array([n]), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], 6.0, 24.0)
+    assert made(base)[1][0].to_pylist() == [[["a", "b"], ["c", ""]]]
+    assert made((*base[:2], [1, None, 3], *base[3:])) is None
+    assert made((base[0], [0.0, float("inf"), 0.0], *base[2:])) is None
+    assert made(([0.0, 0.0, 20.0, 0.0], [0.0, 50.0, 0.0, 0.0], [1, 2, 3, 1], ["b", "x", "c", "a"], [6.0, 6.0, 26.0, 6.0]), 4) is None
+    many = regions.TOGETHER + 1
+    assert made(tuple(c * many for c in base), 3 * many) is None
